@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, token_counts, toxicity
+from . import langid, license_scan, mixing, quality, sharding, token_counts, toxicity
 from .scratch import bucket_of
 
 
@@ -15,6 +15,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shares of the expected tokens: junk and toxic text are thinned, the rest takes their place.
+MIX_TARGETS = {"clean": 0.95, "junk": 0.03, "toxic": 0.02}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """The domain of each labelled document: junk, toxic or clean."""
+    domain = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixture = mixing.fit_mixture(docs, label_domains(table(spark, sf_dir, "labels")), MIX_TARGETS)
+    return mixing.document_rates(mixture)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    places = F.transform("phrases", lambda x: x["at"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    base, more = F.transform("phrases", lambda x: x["label"]), F.transform("hits", lambda x: x["label"])
+    best = F.coalesce(F.array_max(F.transform("hits", lambda x: x["containment"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, more)).alias("labels"),
+        F.when(F.size("phrases") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        F.size("hits").cast("long").alias("n_blocks"),
+    )
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SHARDS = 24
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=SHARDS)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return placed.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = bucket_of(F.col("doc_id"), 3)
@@ -44,6 +101,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
+        "op2_license_scan": op2_license_scan,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_sharding": op4_sharding,
         "op7_language_id": op7_language_id,
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
