@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license_scan, mixing, quality, sharding, simhash, token_counts, toxicity
+from . import decontam, langid, license_scan, lm, mixing, quality, sharding, simhash, token_counts, toxicity
 from .scratch import bucket_of
 
 
@@ -77,6 +77,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = bucket_of(F.col("doc_id"), 7)
+    counts = lm.ngram_counts(docs.where((fold >= 0) & (fold != 2)))
+    found = lm.score_documents(docs, lm.fit_lm(counts), counts)
+    return found.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = bucket_of(F.col("doc_id"), 3)
@@ -123,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
+        "op6_lm_scores": op6_lm_scores,
         "op7_language_id": op7_language_id,
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
