@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import LOWER, PUNCT, pieces, word_hashes, words
+from .kernels import LOWER, PUNCT, PUNCT_RAW, pieces, word_hashes, words
 from .scratch import PREFIX, materialize, unwrap, wrap
 
 WINDOW = 13
@@ -44,7 +44,7 @@ class WindowIndex:
 def text_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, hashes of its words) of each row that has bytes, in order."""
     parts: list[np.ndarray] = []
-    for p in pieces(column, separators=PUNCT):
+    for p in pieces(column, separators=PUNCT_RAW):
         data = LOWER[p.data]
         starts, ends = words(data, p.bounds, PUNCT)
         h = word_hashes(data, starts, ends)

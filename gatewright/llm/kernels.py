@@ -22,6 +22,9 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: The separators of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` in text whose A-Z are lower-cased.
 PUNCT = np.zeros(256, dtype=bool)
 PUNCT[0x00:0x30] = PUNCT[0x3A:0x61] = PUNCT[0x7B:0x80] = True
+#: The same, in text as it is written: where it may be cut.
+PUNCT_RAW = PUNCT.copy()
+PUNCT_RAW[65:91] = False
 
 _P = 0x9E3779B97F4A7C15
 _POW: dict[str, np.ndarray] = {}
@@ -50,10 +53,10 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(column: pa.Array, size: int = PIECE, separators: np.ndarray | None = None) -> Iterator[Piece]:
-    """Runs of texts of at most ``size`` bytes; a longer text is cut, at a separator if one is given.
+    """Runs of texts of at most ``size`` bytes; a longer text is cut, after a separator if they are given.
 
-    A text with no separator in ``size`` bytes is taken up to its next separator, so that a
-    word is never cut.
+    A text with no separator in ``size`` bytes is taken up to its next one, so that no word or
+    sentence is ever cut.
     """
     data, offsets = column_bytes(column)
     n, row = len(column), 0
@@ -67,11 +70,11 @@ def pieces(column: pa.Array, size: int = PIECE, separators: np.ndarray | None =
         while at < last:
             to = min(at + size, last)
             if separators is not None and to < last:
-                back = np.flatnonzero(separators[data[at + 1 : to]])
-                if len(back):
-                    to = at + 1 + int(back[-1])
+                found = np.flatnonzero(separators[data[at:to]])
+                if len(found):
+                    to = at + 1 + int(found[-1])
                 else:
-                    while to < last and not separators[data[to]]:
+                    while to < last and not separators[data[to - 1]]:
                         to += 1
             yield Piece(data[at:to], np.array([0, to - at]), np.array([row]), not first, to < last)
             at, first = to, False

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import LOWER, PUNCT, pieces, word_hashes, words
+from .kernels import LOWER, PUNCT, PUNCT_RAW, pieces, word_hashes, words
 
 #: Bytes that end a sentence.
 ENDS = np.zeros(256, bool)
@@ -43,7 +43,7 @@ def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, label, text) batches to (row, label, piece, hashes and sentence numbers of its words)."""
     for batch in batches:
         keys, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for p in pieces(batch.column(2), separators=PUNCT):
+        for p in pieces(batch.column(2), separators=PUNCT_RAW):
             data = LOWER[p.data]
             starts, ends = words(data, p.bounds, PUNCT)
             h = word_hashes(data, starts, ends).view(np.int64)
@@ -162,8 +162,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id"
 
     ``offending`` lists ``(start, end, p)`` of the sentences with p of ``least`` or more, in
     characters of the text. An empty or null text has one empty sentence. Ids may be null or
-    repeat; other columns are not read. Of a text of many megabytes, a sentence cut between two
-    pieces counts as two.
+    repeat; other columns are not read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
