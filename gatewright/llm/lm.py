@@ -191,9 +191,14 @@ class CountFilter:
         return mix(h ^ np.uint64(0xA0761D6478BD642F if kind == 1 else 0xE7037ED1A0B428DB))
 
     @staticmethod
-    def place(key: np.ndarray, level: np.ndarray | int, k: int) -> np.ndarray:
-        """The bit of the k-th hash in the key's block."""
-        return mix(key + np.uint64(0x8EBC6AF09C88C6E3) * (np.asarray(level, np.uint64) * np.uint64(HASHES) + np.uint64(k))) % np.uint64(BLOCK_BITS)
+    def steps(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two hashes whose combinations are the places of all levels."""
+        return key & np.uint64(0xFFFFFFFF), mix(key) | np.uint64(1)
+
+    @staticmethod
+    def place(first: np.ndarray, step: np.ndarray, level: int, k: int) -> np.ndarray:
+        """The bit of the k-th hash of a level in the key's block."""
+        return (first + step * np.uint64(level * HASHES + k)) & np.uint64(BLOCK_BITS - 1)
 
     @staticmethod
     def block(key: np.ndarray, n_blocks: int) -> np.ndarray:
@@ -202,13 +207,16 @@ class CountFilter:
     def levels(self, kind: int, h: np.ndarray) -> np.ndarray:
         """The highest level of each n-gram for which it and all lower ones are in the filter."""
         out = np.zeros(len(h), np.int64)
-        key = self.key(kind, h)
-        block = self.block(key, len(self.bits)).astype(np.int64)
+        key, flat = self.key(kind, h), self.bits.reshape(-1)
+        base = self.block(key, len(self.bits)) * np.uint64(BLOCK_BITS)
+        first, step = self.steps(key)
         live = np.arange(len(h))
         for level in range(1, LEVELS + 1):
             for k in range(HASHES):
-                at = self.place(key[live], level, k)
-                live = live[self.bits[block[live], (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                at = base + self.place(first, step, level, k)
+                there = flat[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+                if not there.all():
+                    live, base, first, step = live[there], base[there], first[there], step[there]
             if not len(live):
                 break
             out[live] = level
@@ -245,10 +253,11 @@ def build_filter(counts: DataFrame, *, n_bits: int = FILTER_BITS) -> CountFilter
     def fill(table: pa.Table) -> pa.Table:
         flags = np.zeros(BLOCK_BITS, bool)
         key, level = table.column("key").to_numpy().view(np.uint64), table.column("level").to_numpy()
+        first, step = CountFilter.steps(key)
         for q in range(1, int(level.max()) + 1):
-            own = key[level >= q]
+            own = level >= q
             for k in range(HASHES):
-                flags[CountFilter.place(own, q, k).astype(np.int64)] = True
+                flags[CountFilter.place(first[own], step[own], q, k).astype(np.int64)] = True
         return pa.table({"block": pa.array(table.column("block").to_numpy()[:1]), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
     rows = counts.where(F.col("c") >= least).select("kind", "h", "c").mapInArrow(keyed, "block long, key long, level int")
@@ -281,16 +290,27 @@ def fit_lm(counts: DataFrame, *, n_bits: int = FILTER_BITS, frequent: int = FREQ
     return LmModel(int(total["n"] or 0), int(total["v"] or 0), build_filter(counts, n_bits=n_bits), h[order], c[order], int(least))
 
 
-def score_tokens(model: LmModel, t: Tokens, weight: float) -> np.ndarray:
-    """log10 of the model's probability of each token."""
-    uni, back = np.unique(np.concatenate([t.h, t.before]), return_inverse=True)
-    c1 = model.filter.counts(1, uni)
-    own, given = c1[back[: len(t.h)]], c1[back[len(t.h) :]]
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of its values each entry has, and the values, by hashing."""
+    import pandas as pd
+
+    codes, values = pd.factorize(h.view(np.int64))
+    return codes, values.view(np.uint64)
+
+
+def score_tokens(model: LmModel, t: Tokens, codes: np.ndarray, values: np.ndarray, weight: float) -> np.ndarray:
+    """log10 of the model's probability of each token; ``codes`` and ``values`` are its distinct words."""
+    own = model.filter.counts(1, values)[codes]
+    given = np.empty(len(own))
+    if len(own):  # the token before is the entry before, but for the first of the piece
+        given[0] = model.filter.counts(1, t.before[:1])[0]
+        given[1:] = own[:-1]
     pair = np.zeros(len(t.h))
     some = np.flatnonzero((own > 0) & (given > 0))
-    pair[some] = model.filter.counts(2, pair_hashes(t.before[some], t.h[some]))
+    which, pairs = distinct(pair_hashes(t.before[some], t.h[some]))
+    pair[some] = model.filter.counts(2, pairs)[which]
     share = np.minimum(pair / np.maximum(given, 1), 1.0)
-    return np.log10(weight * share + (1 - weight) * (own + 1) / (model.n + model.v + 1 + 1e-9))
+    return np.log10(weight * share + (1 - weight) * (own + 1) / (model.n + model.v + 1))
 
 
 def score_documents(docs: DataFrame, model: LmModel, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT) -> DataFrame:
@@ -320,11 +340,13 @@ def score_documents(docs: DataFrame, model: LmModel, counts: DataFrame, *, id_co
             rare_rows, rare_words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for t in token_pieces(batch.column(1)):
                 n += np.bincount(t.row, minlength=size)
-                at = np.minimum(np.searchsorted(m.frequent, t.h), max(len(m.frequent) - 1, 0))
-                hit = m.frequent[at] == t.h if len(m.frequent) else np.zeros(len(t.h), bool)
+                codes, values = distinct(t.h)
+                at = np.minimum(np.searchsorted(m.frequent, values), max(len(m.frequent) - 1, 0))
+                is_frequent = m.frequent[at] == values if len(m.frequent) else np.zeros(len(values), bool)
+                hit = is_frequent[codes]
                 known += np.bincount(t.row[hit], minlength=size)
-                base += np.bincount(t.row[hit], weights=logs[at[hit]], minlength=size)
-                score += np.bincount(t.row, weights=score_tokens(m, t, weight), minlength=size)
+                base += np.bincount(t.row[hit], weights=logs[at[codes[hit]]] if len(logs) else None, minlength=size)
+                score += np.bincount(t.row, weights=score_tokens(m, t, codes, values, weight), minlength=size)
                 rare_rows.append(t.row[~hit])
                 rare_words.append(t.h[~hit])
             rows, words_ = np.concatenate(rare_rows), np.concatenate(rare_words)
