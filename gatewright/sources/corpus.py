@@ -97,7 +97,7 @@ DEFECTS: dict[str, tuple] = {
     "negative_position_quantity": (151, 152),
     "duplicate_position_row": (161, 162),
     "fx_rate_missing_for_nonbase_currency": (171, 172),
-    "position_date_mismatch": (181, 182),
+    "position_date_mismatch": (261, 262),
 }
 #: The day (from 0) of defects in prices and positions, and days cut off a stale series.
 DEFECT_DAY, STALE_CUT = 10, 6
@@ -148,7 +148,7 @@ def gate_corpus(spark: SparkSession, *, days: int = 30, end: str = "2026-08-28",
     funds = held.groupBy("f", "d", "fund_id", F.col("position_date").alias("nav_date")).agg(F.sum("market_value").alias("total")).withColumn("n", F.col("f") * days + F.col("d"))
     off = F.when(F.col("n").isin(*[(k - 1) * days + DEFECT_DAY for k in DEFECTS["holdings_to_nav_tie_out"]]), 1.08).otherwise(1.0) if defects else F.lit(1.0)
     funds = funds.select("n", "fund_id", F.concat(F.lit("Simulated fund "), "fund_id").alias("fund_name"), "nav_date", F.round(F.col("total").cast("double") * noise * off, 2).cast("decimal(20,6)").alias("reported_nav"))
-    here = (F.col("f") == 0) & on_day
+    here = (F.col("f") == F.col("i") % 2) & on_day
     flip = lambda c: F.when(in_("negative_position_quantity") & here, -F.col(c)).otherwise(F.col(c))
     positions = held.withColumns(
         {
@@ -183,7 +183,7 @@ def _gate_manifest(numbered: dict[str, DataFrame]) -> DataFrame:
         "stale_price": (pricing, None),
         "matured_bond_still_priced": (pricing, on_day),
         **{r: (pricing, on_day) for r in ("future_dated_price", "negative_price", "zero_price", "price_band_breach", "price_currency_mismatch")},
-        **{r: (positions, on_day & (F.col("f") == 0)) for r in ("orphan_position", "negative_position_quantity", "duplicate_position_row", "fx_rate_missing_for_nonbase_currency", "position_date_mismatch")},
+        **{r: (positions, on_day & (F.col("f") == F.col("i") % 2)) for r in ("orphan_position", "negative_position_quantity", "duplicate_position_row", "fx_rate_missing_for_nonbase_currency", "position_date_mismatch")},
     }
     parts = []
     anchors = F.array_sort(F.collect_list(F.struct(F.col("source_file"), F.col("source_row").cast("bigint").alias("source_row")))).alias("anchors")
@@ -254,22 +254,25 @@ def feed_corpus(spark: SparkSession, *, files_per_schema: int = 30, rows_per_fil
 def feed_defects(spark: SparkSession, *, files_per_schema: int = 6, rows_per_file: int = 150, run_date: str = "2026-10-05", seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Rows of a corpus with 500 defects, and its manifest (check, source_file, source_row).
 
-    36 defects of each of ten row checks are dealt over the main files so that no schema has one
-    twice; drift (2 x 40 rows), short files (20) and disagreeing vendors (40) have files of their own.
+    36 defects of each of ten row checks are dealt over the main files, so that no schema has one
+    twice that could be taken for another check; drift (2 x 40 rows), short files (20) and
+    disagreeing vendors (40) have files of their own.
     """
     schemas = feed_schemas()
     main = [(f"{VENDORS[f % 6]}_{s}_{run_date}_defectmain.csv" if files_per_schema <= 6 else f"{VENDORS[f % 6]}_{s}_{run_date}_{f}_defectmain.csv", s, VENDORS[f % 6], bound, rows_per_file, (f * rows_per_file) % POOL) for s, _, bound, _ in schemas for f in range(files_per_schema)]
-    left = {c: 36 for c in ROW_CHECKS}
-    plan: list[tuple[str, int, str, str]] = []
-    for k in range(9):  # nine of the ten checks for each of the 40 schemas
-        for i, (_, _, _, negatives) in enumerate(schemas):
-            used = {p[3] for p in plan if p[2] == str(i)}
-            open_ = [c for c in ROW_CHECKS if left[c] and c not in used and not (c == "negative_value" and negatives)]
-            check = max(open_, key=lambda c: (left[c], c))
-            left[check] -= 1
-            file = main[i * files_per_schema + k % files_per_schema][0]
-            plan.append((file, 20 + 10 * (k // files_per_schema) + k, str(i), check))
-    chosen = spark.createDataFrame([(f, r, c) for f, r, _, c in plan], "source_file string, at int, check string")
+    plan: list[tuple[str, int, str]] = []
+    others = [c for c in ROW_CHECKS if c != "negative_value"]
+    skips = iter(others * 4)
+    extra = 4  # schemas with two negative values, for those that allow them have none
+    for i, (_, _, _, negatives) in enumerate(schemas):
+        own = list(others)
+        if not negatives:
+            own += ["negative_value"] * (2 if extra > 0 else 1)
+            for _ in range(2 if extra > 0 else 1):
+                own.remove(next(skips))
+            extra -= 1
+        plan += [(main[i * files_per_schema + k % files_per_schema][0], 20 + 10 * (k // files_per_schema) + k, c) for k, c in enumerate(own)]
+    chosen = spark.createDataFrame(plan, "source_file string, at int, check string")
     day = lambda n: F.date_add(F.to_date(F.lit(run_date)), n).cast("string")
     rows = _feed_rows(spark, spark.createDataFrame(main, _FILE), run_date, seed).join(chosen, ["source_file", "at"], "left")
     bounds = spark.createDataFrame([(s, b) for s, _, b, _ in schemas], "schema_name string, bound double")
@@ -317,8 +320,8 @@ def daily_corpus(spark: SparkSession, *, files: int = DAILY_FILES, rows: int = D
         "at",
         F.lit(DAILY_DATE).alias("as_of_date"),
         F.format_string("%s%05d", F.upper(F.substring("asset_class", 1, 3)), number).alias("instrument_id"),
-        F.format_number(F.greatest(F.col("low") + u("v1") * (F.col("high") - F.col("low")), F.lit(0.5) + F.col("low")), "0.0000").alias("value1"),
-        F.format_number(0.01 + 0.98 * u("v2"), "0.000000").alias("value2"),
+        F.format_string("%.4f", F.greatest(F.col("low") + u("v1") * (F.col("high") - F.col("low")), F.lit(0.5) + F.col("low"))).alias("value1"),
+        F.format_string("%.6f", 0.01 + 0.98 * u("v2")).alias("value2"),
         F.lit("USD").alias("currency"),
         F.lit("vendor_a").alias("source_vendor"),
         F.array(*map(F.lit, DAILY_COLUMNS)).alias("header"),

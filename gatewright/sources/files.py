@@ -104,7 +104,10 @@ def rejected_feeds(spark: SparkSession, path: str, schemas: DataFrame | None = N
     return lost.select("source_file", "file_schema")
 
 
-_DAILY_LINE = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(32)])
+def _quoted_cells(line: Column) -> Column:
+    """The cells of a CSV line, of which some may be in double quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    return F.transform(raw, lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
 def read_daily_files(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -114,9 +117,8 @@ def read_daily_files(spark: SparkSession, path: str, schema: str | None = None)
     as texts; ``typed_daily_records`` makes numbers of them.
     """
     files = read_whole_files(spark, path, f"{schema}_*.csv" if schema else "*.csv").where(F.size("lines") > 0)
-    cells = lambda line: F.filter(F.array(*[F.from_csv(line, F.lit(_DAILY_LINE.simpleString()[7:-1].replace(":", " ")), {"nullValue": "\u0000", "emptyValue": ""})[f"_c{i}"] for i in range(12)]), lambda x: x.isNotNull())
-    rows = files.select("source_file", cells(F.element_at("lines", 1)).alias("header"), F.posexplode(F.filter(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: x != "")).alias("source_row", "line"))
-    named = rows.withColumn("cells", cells(F.col("line")))
+    rows = files.select("source_file", _quoted_cells(F.element_at("lines", 1)).alias("header"), F.posexplode(F.filter(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: x != "")).alias("source_row", "line"))
+    named = rows.withColumn("cells", _quoted_cells(F.col("line")))
     name = F.regexp_extract("source_file", r"^(.*)_[^_]*\.csv\z", 1)
     return named.select(*[_field(F.col("header"), F.col("cells"), c).alias(c) for c in DAILY_COLUMNS], (F.lit(schema) if schema else name).alias("schema"), "source_file", "source_row")
 
