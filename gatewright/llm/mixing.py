@@ -129,15 +129,22 @@ def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *,
     g = [[(gram[f"g{i}_{j}"] or 0.0) * math.sqrt(weight[i] * weight[j]) for j in k] for i in k]
     largest = max((sum(abs(x) for x in line) for line in g), default=0.0)  # bounds the largest eigenvalue
     step = 1 / largest if largest else 0.0
-    rate = F.lit(1.0)
+    slopes: list[list[float]] = []
+
+    def rate() -> Column:
+        """All steps so far. They are data to one expression, so every round runs the same code."""
+        along = lambda slope: sum((p[i] * slope[i] for i in k), F.lit(0.0))
+        done = F.array(*[F.array(*map(F.lit, s)) for s in slopes]) if slopes else F.array().cast("array<array<double>>")
+        return F.aggregate(done, F.lit(1.0), lambda r, slope: F.greatest(F.lit(0.0), r - along(slope)))
+
     for _ in range(rounds):
-        sums = cells.agg(*[F.sum(F.col("tokens") * p[i] * rate).alias(f"m{i}") for i in k]).first()
+        now = cells.withColumn("rate", rate())
+        sums = now.agg(*[F.sum(F.col("tokens") * p[i] * F.col("rate")).alias(f"m{i}") for i in k]).first()
         errors = [(sums[f"m{i}"] or 0.0) - targets[d] for i, d in enumerate(names)]
         if max(abs(e) * w for e, w in zip(errors, weight, strict=True)) < tolerance:
             break
-        slope = sum((p[i] * F.lit(errors[i] * weight[i] * step) for i in k), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - slope)
-    return rate
+        slopes.append([e * w * step for e, w in zip(errors, weight, strict=True)])
+    return rate()
 
 
 class Mixture:
