@@ -146,10 +146,12 @@ def calibrate(signals: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 
 def _kept() -> Column:
-    passes = F.lit(True)
+    """No reason to reject. The reasons are counted in one term, so that a filter on it stays above
+    the join and the signals are computed once."""
+    reasons = F.coalesce(F.col("base_failed").cast("int"), F.lit(0))
     for rule in RULES:
-        passes = passes & ~F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
-    return ~F.col("base_failed") & passes
+        reasons = reasons + F.coalesce((F.col(rule) > F.col(f"cut_{rule}")).cast("int"), F.lit(0))
+    return reasons == 0
 
 
 def signal_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
