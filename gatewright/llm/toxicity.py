@@ -4,6 +4,9 @@ Only documents have labels. A sentence's score is a logistic function of the wor
 a document is toxic if any of its sentences is: sentence scores are combined by noisy-or,
 P(document) = 1 - prod(1 - p(sentence)). The weights are trained through that combination, so
 the labels of documents teach which sentences offend, and these are then located.
+
+The features of a word are itself and its first few bytes, at several lengths below its own, so
+that a form which was not seen in training is known by its stem.
 """
 
 from __future__ import annotations
@@ -17,13 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import LOWER, PUNCT, PUNCT_RAW, pieces, word_hashes, words
+from .kernels import LOWER, PUNCT, PUNCT_RAW, Piece, mix, pieces, word_hashes, words
+from .scratch import materialize
 
 #: Bytes that end a sentence.
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".!?\n"]] = True
 
 
+#: Bytes of the stems of longer words.
+STEMS = (4, 5, 6, 7, 8, 9)
+
+
 @dataclass
 class ToxicModel:
     features: np.ndarray  # sorted word hashes
@@ -39,59 +47,104 @@ def sentences(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, label, text) batches to (row, label, piece, hashes and sentence numbers of its words)."""
+def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which words, their feature hashes) for the words themselves and for each length of stem."""
+    yield np.arange(len(starts)), word_hashes(data, starts, ends)
+    for k in STEMS:
+        longer = np.flatnonzero(ends - starts > k)
+        yield longer, mix(word_hashes(data, starts[longer], starts[longer] + k) + np.uint64(k))
+
+
+def _parsed(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts and ends of words, and the sentence of each byte."""
+    data = LOWER[p.data]
+    starts, ends = words(data, p.bounds, PUNCT)
+    return data, starts, ends, sentences(data, p.bounds)
+
+
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, label, text) batches to (feature, documents with it, toxic ones of them)."""
     for batch in batches:
-        keys, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        labels = np.array(batch.column(1).to_pylist(), np.int64)
+        found: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
         for p in pieces(batch.column(2), separators=PUNCT_RAW):
-            data = LOWER[p.data]
-            starts, ends = words(data, p.bounds, PUNCT)
-            h = word_hashes(data, starts, ends).view(np.int64)
-            sent = sentences(data, p.bounds)[starts] if len(starts) else starts
-            cut = np.searchsorted(starts, p.bounds)
-            for k, row in enumerate(p.rows):
-                part = slice(cut[k], cut[k + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([keys[row]], pa.int64()), pa.array([labels[row]], pa.int32()), pa.array([h[part]], pa.list_(pa.int64())), pa.array([sent[part]], pa.list_(pa.int64()))], names=["row", "label", "words", "sents"])
+            data, starts, ends, _ = _parsed(p)
+            row = p.rows[np.searchsorted(p.bounds, starts, "right") - 1] if len(starts) else starts
+            for which, h in word_features(data, starts, ends):
+                found.append(h)
+                rows.append(row[which])
+            if len(found) > 200 and not p.cut:
+                yield from _summed(np.concatenate(found), np.concatenate(rows), labels)
+                found, rows = [], []
+        if found:
+            yield from _summed(np.concatenate(found), np.concatenate(rows), labels)
 
 
-def train_noisy_or(docs: list[tuple[int, float, np.ndarray, np.ndarray]], *, max_features: int = 2048, min_docs: int = 4, rounds: int = 250, rate: float = 0.1, decay: float = 1e-3) -> ToxicModel:
-    """Fit weights to (label, weight, word hashes, sentence numbers) of documents.
+def _summed(h: np.ndarray, row: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((row, h))
+    h, row = h[order], row[order]
+    once = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+    h, toxic = h[once], labels[row[once]]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    if len(h):
+        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.append(first, len(h)))), pa.array(np.add.reduceat(toxic, first))], names=["feature", "n", "toxic"])
 
-    Features are the words in at least ``min_docs`` documents that tell the labels apart best
-    (chi-square), ``max_features`` at most.
-    """
-    y = np.array([d[0] for d in docs], float)
-    weight = np.array([d[1] for d in docs], float)
-    lengths = np.array([len(d[2]) for d in docs])
-    of = np.repeat(np.arange(len(docs)), lengths)
-    word = np.concatenate([d[2] for d in docs]).view(np.uint64) if len(of) else np.zeros(0, np.uint64)
-    vocab, ids = np.unique(word, return_inverse=True)
-    if len(vocab):
-        pairs = np.unique(of * len(vocab) + ids)
-        d, v = pairs // len(vocab), pairs % len(vocab)
-        n = np.bincount(v, minlength=len(vocab)).astype(float)
-        pos = np.bincount(v, weights=y[d], minlength=len(vocab))
-        total, share = len(docs), y.mean()
-        expected = n * share
-        with np.errstate(all="ignore"):
-            chi = (pos - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - n / total), 1e-9)
-        chi[n < min_docs] = -1
-        top = np.sort(np.argsort(-chi, kind="stable")[:max_features])
-        top = top[chi[top] > 0]
-    else:
-        top = np.zeros(0, int)
-    slot = np.full(len(vocab) + 1, -1)
-    slot[top] = np.arange(len(top))
-    sent_of = [np.unique(d[3], return_inverse=True) for d in docs]
-    n_sents = np.array([max(len(s[0]), 1) for s in sent_of])
+
+def _instances(features: np.ndarray):
+    """(row, label, text) batches to (row, label, sentences, the chosen features and their sentences)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for p in pieces(batch.column(2), separators=ENDS):
+                data, starts, ends, sent = _parsed(p)
+                at = [which_hit(features, h, which) for which, h in word_features(data, starts, ends)]
+                word, hit = (np.concatenate([x[i] for x in at]) for i in (0, 1))
+                order = np.argsort(word, kind="stable")
+                word, hit = word[order], hit[order]
+                cut = np.searchsorted(starts[word], p.bounds)
+                for k, row in enumerate(p.rows):
+                    a, b = p.bounds[k], p.bounds[k + 1]
+                    own = slice(cut[k], cut[k + 1])
+                    first = int(sent[a]) if b > a else 0
+                    n = int(sent[b - 1]) - first + 1 if b > a else 0
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[row]], pa.int64()), pa.array([labels[row]], pa.int32()), pa.array([n], pa.int32()), pa.array([hit[own]], pa.list_(pa.int64())), pa.array([sent[starts[word[own]]] - first], pa.list_(pa.int64()))], names=["row", "label", "n_sents", "hits", "sents"])
+
+    return run
+
+
+def which_hit(features: np.ndarray, h: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that have a chosen feature, and its number."""
+    if not len(features) or not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(features, h), len(features) - 1)
+    hit = features[at] == h
+    return which[hit], at[hit]
+
+
+def choose_features(counts: DataFrame, n_docs: int, n_toxic: int, *, max_features: int = 256, min_docs: int = 4) -> np.ndarray:
+    """The features in at least ``min_docs`` documents that tell the labels apart best (chi-square)."""
+    share = n_toxic / n_docs
+    n = F.col("n").cast("double")
+    expected = n * share
+    spread = F.greatest(expected * (1 - share) * (1 - n / n_docs), F.lit(1e-9))
+    chi = F.pow(F.col("toxic") - expected, 2) / spread
+    top = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= min_docs).select("feature", chi.alias("chi")).where("chi > 15").orderBy(F.desc("chi"), "feature").limit(max_features)
+    return np.sort(np.array([r["feature"] for r in top.collect()], np.int64).view(np.uint64))
+
+
+def train_noisy_or(features: np.ndarray, docs: list[tuple[int, float, int, np.ndarray, np.ndarray]], *, rounds: int = 250, rate: float = 0.1, decay: float = 1e-3) -> ToxicModel:
+    """Fit weights to (label, weight, sentences, feature numbers, sentence of each) of documents."""
+    width = max(len(features), 1)
+    y, weight = np.array([d[0] for d in docs], float), np.array([d[1] for d in docs], float)
+    n_sents = np.array([max(d[2], 1) for d in docs])
     base = np.concatenate([[0], np.cumsum(n_sents)])
-    sent = np.concatenate([s[1] + b for s, b in zip(sent_of, base, strict=False)]) if len(of) else of
-    keep = slot[ids] >= 0 if len(of) else np.zeros(0, bool)
-    cells = np.unique(sent[keep] * max(len(top), 1) + slot[ids][keep]) if keep.any() else np.zeros(0, np.int64)
-    row, col = cells // max(len(top), 1), cells % max(len(top), 1)
+    cells = np.unique(np.concatenate([(d[4] + b) * width + d[3] for d, b in zip(docs, base, strict=False)]).astype(np.int64))
+    row, col = cells // width, cells % width
     doc_of = np.repeat(np.arange(len(docs)), n_sents)
-    w, b = np.zeros(len(top)), -4.0
-    m, s = np.zeros(len(top) + 1), np.zeros(len(top) + 1)
+    w, b = np.zeros(width), -4.0
+    m, s = np.zeros(width + 1), np.zeros(width + 1)
     scale = weight / weight.sum()
     for t in range(1, rounds + 1):
         z = b + np.bincount(row, weights=w[col], minlength=base[-1])
@@ -100,13 +153,12 @@ def train_noisy_or(docs: list[tuple[int, float, np.ndarray, np.ndarray]], *, max
         clean = np.exp(np.minimum(log_clean, -1e-9))
         outer = scale * np.where(y > 0, -clean / (1 - clean), 1.0)
         g = outer[doc_of] * sigma
-        grad = np.append(np.bincount(col, weights=g[row], minlength=len(top)) + decay * w / len(docs), g.sum())
+        grad = np.append(np.bincount(col, weights=g[row], minlength=width) + decay * w / len(docs), g.sum())
         m = 0.9 * m + 0.1 * grad
         s = 0.99 * s + 0.01 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-7)
         w, b = w - step[:-1], b - step[-1]
-    order = np.argsort(vocab[top])
-    return ToxicModel(vocab[top][order], w[order], float(b))
+    return ToxicModel(features, w[: len(features)], float(b))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: Column | None = None, max_docs_per_class: int = 3000) -> ToxicModel:
@@ -129,18 +181,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     drawn = marked.where(F.col("draw") < F.when(F.col("label") == 1, F.lit(int(shares[1] * (1 << 20)))).otherwise(F.lit(int(shares[0] * (1 << 20)))))
     # The drawn ids are bounded by the two class sizes, so they may be broadcast.
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(drawn.select("id", "label")), "id")
-    table = found.select(F.xxhash64("id").alias("row"), "label", "text").mapInArrow(_instances, "row long, label int, words array<long>, sents array<long>").toArrow()
-    merged: dict[tuple[int, int], list] = {}
-    for row, label, w, s in zip(table.column("row").to_pylist(), table.column("label").to_pylist(), table.column("words"), table.column("sents"), strict=True):
-        merged.setdefault((row, label), []).append((w.values.to_numpy(zero_copy_only=False), s.values.to_numpy(zero_copy_only=False)))
-    out = []
-    for (_, label), parts in sorted(merged.items()):
-        shift, sents = 0, []
-        for _, s in parts:
-            sents.append(s + shift)
-            shift += int(s.max()) + 1 if len(s) else 0
-        out.append((label, 1 / shares[label], np.concatenate([p[0] for p in parts]), np.concatenate(sents)))
-    return train_noisy_or(out)
+    # Written once: a bounded table that both passes over the sample read.
+    sample = materialize(found.select(F.monotonically_increasing_id().alias("row"), "label", "text"), "toxicity-sample")
+    n_docs, n_toxic = sample.agg(F.count("*"), F.sum("label")).first()
+    if not n_docs or n_toxic in (0, n_docs):
+        share = min(max((n_toxic or 0) / max(n_docs, 1), 1e-3), 1 - 1e-3)
+        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
+    features = choose_features(sample.mapInArrow(_feature_counts, "feature long, n long, toxic long"), n_docs, n_toxic)
+    table = sample.mapInArrow(_instances(features), "row long, label int, n_sents int, hits array<long>, sents array<long>").toArrow()
+    merged: dict[int, list] = {}
+    for row, label, n, hits, sents in zip(*[table.column(c).to_pylist() for c in ("row", "label", "n_sents", "hits", "sents")], strict=True):
+        doc = merged.setdefault(row, [label, 1 / shares[label], 0, [], []])
+        doc[3] += hits
+        doc[4] += [s + doc[2] for s in sents]
+        doc[2] += n
+    return train_noisy_or(features, [(d[0], d[1], d[2], np.array(d[3], np.int64), np.array(d[4], np.int64)) for _, d in sorted(merged.items())])
 
 
 def _spans(model: ToxicModel, piece, data: np.ndarray, sent: np.ndarray, z_of: np.ndarray, first_char: int, least: float) -> list[list[tuple[int, int, float]]]:
@@ -178,13 +233,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id"
             for p in pieces(batch.column(1), separators=ENDS):
                 if not len(p.data):
                     continue
-                data = LOWER[p.data]
-                sent = sentences(data, p.bounds)
-                starts, ends = words(data, p.bounds, PUNCT)
-                h = word_hashes(data, starts, ends)
-                at = np.minimum(np.searchsorted(m.features, h), max(len(m.features) - 1, 0))
-                hit = m.features[at] == h if len(m.features) else np.zeros(len(h), bool)
-                cell = np.unique(sent[starts[hit]] * max(len(m.features), 1) + at[hit])
+                data, starts, ends, sent = _parsed(p)
+                at = [which_hit(m.features, h, which) for which, h in word_features(data, starts, ends)]
+                cell = np.unique(np.concatenate([sent[starts[word]] * max(len(m.features), 1) + hit for word, hit in at]))
                 n = int(sent[-1]) + 1
                 z = m.bias + np.bincount(cell // max(len(m.features), 1), weights=m.weights[cell % max(len(m.features), 1)], minlength=n) if len(cell) else np.full(n, m.bias)
                 full = np.flatnonzero(np.diff(p.bounds) > 0)

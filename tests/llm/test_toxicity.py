@@ -44,6 +44,13 @@ def test_held_out_documents_and_their_sentences(spark):
             assert all(s["p"] >= 0.5 for s in out[i]["offending"])
 
 
+def features_of(word):
+    yield kernels.word_hash(word)
+    for k in toxicity.STEMS:
+        if len(word) > k:
+            yield int(kernels.mix(np.array([kernels.word_hash(word[:k])], np.uint64) + np.uint64(k))[0])
+
+
 def test_scores_are_noisy_or_over_sentences(spark):
     rows, model = fitted(spark)
     weight = {int(f): w for f, w in zip(model.features, model.weights)}
@@ -55,7 +62,7 @@ def test_scores_are_noisy_or_over_sentences(spark):
         for s in re.split(r"(?<=[.!?\n])", r[1] or "") or [""]:
             if s == "" and (r[1] or ""):
                 continue
-            found = {kernels.word_hash(w.encode()) for w in PLAIN.findall(lower(s))}
+            found = {f for w in PLAIN.findall(lower(s)) for f in features_of(w.encode())}
             z = model.bias + sum(weight.get(h, 0.0) for h in found)
             clean *= 1 - 1 / (1 + np.exp(-z))
         if r[0] is not None:
