@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.rules import DAILY_DATE, DAILY_FILES, DAILY_ROWS
 from ..schemas import FEED_COLUMNS, daily_schemas, feed_schemas
 
+#: Make-up of the simulated corpus: fixed values.
 CLASS_COUNTS = {"Equity": 220, "Bond": 150, "ETF": 60, "Option": 30, "Cash": 20}
 CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CAD")
 FX_BASE = {"EUR": 1.08, "GBP": 1.27, "JPY": 0.0068, "CAD": 0.74}
