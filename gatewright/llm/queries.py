@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license_scan, lm, mixing, quality, sharding, simhash, token_counts, toxicity
+from . import decontam, langid, license_scan, lm, mixing, oracle, quality, sharding, simhash, token_counts, toxicity
 from .scratch import bucket_of
 
 
@@ -140,4 +140,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express: the others have tests against brute force or held-out labels."""
+    return oracle.oracle_sql()
