@@ -46,7 +46,7 @@ def _lineage(anchor: str) -> tuple[Column, Column]:
     return F.col("source_file"), F.col("source_row").cast("bigint")
 
 
-def violations(tables: Tables, rules: Iterable[Rule], run_date: str, snapshots: bool = True) -> DataFrame:
+def violations(tables: Tables, rules: Iterable[Rule], run_date: str, snapshots: bool = True, details: bool = True) -> DataFrame:
     """Every failing row of every rule: one scan and one explode for each anchor table."""
     rules = list(rules)
     parts = []
@@ -54,7 +54,7 @@ def violations(tables: Tables, rules: Iterable[Rule], run_date: str, snapshots:
         own = [r for r in rules if r.anchor == anchor]
         df, fields = enriched(tables, anchor, own, run_date), Fields()
         found = [
-            F.when(r.predicate(fields), F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.category).alias("rule_category"), F.lit(r.level).alias("level"), F.lit(r.column).cast("string").alias("column_name"), r.detail(fields).alias("detail")))
+            F.when(r.predicate(fields), F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.category).alias("rule_category"), F.lit(r.level).alias("level"), F.lit(r.column).cast("string").alias("column_name"), (r.detail(fields) if details else F.lit(None).cast("string")).alias("detail")))
             for r in own
         ]
         source_file, source_row = _lineage(anchor)

@@ -45,7 +45,7 @@ def _rule_query(rule: Rule) -> Query:
 
 
 def _counts(rules: tuple[Rule, ...]) -> Query:
-    return lambda spark, sf_dir: q.violations(LazyTables(spark, sf_dir), rules, RUN_DATE, snapshots=False).groupBy("rule_name").agg(F.count("*").alias("n"))
+    return lambda spark, sf_dir: q.violations(LazyTables(spark, sf_dir), rules, RUN_DATE, snapshots=False, details=False).groupBy("rule_name").agg(F.count("*").alias("n"))
 
 
 def _quarantined(rules: tuple[Rule, ...]) -> Query:
@@ -111,7 +111,7 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.missing_lineage(q.violations(LazyTables(spark, sf_dir), DAILY_RULES, DAILY_DATE, snapshots=False))
+    return q.missing_lineage(q.violations(LazyTables(spark, sf_dir), DAILY_RULES, DAILY_DATE, snapshots=False, details=False))
 
 
 def unpriced_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
