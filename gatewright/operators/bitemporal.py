@@ -76,3 +76,16 @@ class LatestCache:
 
     def is_cached(self, spark, key: str) -> bool:
         return bool(self._current(spark).where(F.col("key") == key).head(1))
+
+
+def latest_of(vintages: DataFrame, kind: str, *parts: str) -> DataFrame:
+    """The latest vintage of one master (``SM``), price (``PRICE``) or position (``POS``); no row if unknown."""
+    return latest(vintages.where(F.col("key") == "|".join((kind, *parts))))
+
+
+def restate_price(vintages: DataFrame, instrument_id: str, price_date: str, price: str, recorded_at: Column, seq: Column) -> tuple[DataFrame, int, int]:
+    """The vintages with a restated price, and how many vintages its key had before and has after."""
+    new = restated_price(vintages, instrument_id, price_date, price, recorded_at, seq)
+    after = restate(vintages, new)
+    same = F.col("key") == f"PRICE|{instrument_id}|{price_date}"
+    return after, vintages.where(same).count(), after.where(same).count()
