@@ -5,7 +5,7 @@ over binned features (shares of symbols and capitals, length, and how many words
 lexicon learned for each domain the text holds) gives every document a posterior over domains.
 Nonnegative rates are then fitted so that the expected tokens of each domain, the sum of
 tokens * posterior * rate, match the targets: least squares on the errors relative to the
-targets, by projected gradient steps, each an aggregate over all rows.
+targets, by projected gradient steps of spectral length, each an aggregate over all rows.
 
 A step is scaled by a document's tokens, so it depends on the posterior alone; documents of one
 feature cell keep one rate. The number of cells is bounded by the bins, so the rows of each
@@ -14,6 +14,7 @@ step are cells with their summed tokens.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -116,7 +117,7 @@ def posteriors(counts: DataFrame, names: list[str], sizes: list[int], cell: Colu
     return [F.exp(x - top) / total for x in logs]
 
 
-def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *, rounds: int = 40, tolerance: float = 1e-6) -> Column:
+def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *, rounds: int = 150, tolerance: float = 1e-3) -> Column:
     """The rate of a cell as a Column over ``p`` (its posteriors), fitted on cells (tokens, p).
 
     ``targets`` are tokens of each domain. Every round sums the expected tokens over all rows;
@@ -131,20 +132,37 @@ def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *,
     step = 1 / largest if largest else 0.0
     slopes: list[list[float]] = []
 
-    def rate() -> Column:
-        """All steps so far. They are data to one expression, so every round runs the same code."""
+    def state() -> Column:
+        """The rate after all steps so far, and before the last. The steps are data to one
+        expression, so every round runs the same code."""
         along = lambda slope: sum((p[i] * slope[i] for i in k), F.lit(0.0))
-        done = F.array(*[F.array(*map(F.lit, s)) for s in slopes]) if slopes else F.array().cast("array<array<double>>")
-        return F.aggregate(done, F.lit(1.0), lambda r, slope: F.greatest(F.lit(0.0), r - along(slope)))
+        done = F.from_json(F.lit(json.dumps(slopes)), "array<array<double>>")
+        start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"))
+        return F.aggregate(done, start, lambda x, slope: F.struct(F.greatest(F.lit(0.0), x["rate"] - along(slope)).alias("rate"), x["rate"].alias("before")))
 
+    last: list[float] | None = None
+    least = math.inf
+    kept = cells.select("tokens", "p").cache()  # the bins bound its rows; lost parts are read again
     for _ in range(rounds):
-        now = cells.withColumn("rate", rate())
-        sums = now.agg(*[F.sum(F.col("tokens") * p[i] * F.col("rate")).alias(f"m{i}") for i in k]).first()
+        now = kept.withColumn("s", state())
+        moved = F.col("s.rate") - F.col("s.before")
+        sums = now.agg(*[F.sum(F.col("tokens") * p[i] * F.col("s.rate")).alias(f"m{i}") for i in k], F.sum(F.col("tokens") * moved * moved).alias("moved"), F.sum("tokens").alias("tokens")).first()
         errors = [(sums[f"m{i}"] or 0.0) - targets[d] for i, d in enumerate(names)]
         if max(abs(e) * w for e, w in zip(errors, weight, strict=True)) < tolerance:
             break
+        cost = sum(w * e * e for e, w in zip(errors, weight, strict=True))
+        if last is not None:
+            if sums["moved"] <= (tolerance * 1e-3) ** 2 * sums["tokens"]:
+                break  # as near as nonnegative rates come
+            # The spectral step: the squared move against the change of slope along it. A step
+            # that made things much worse is followed by a short one.
+            bend = sum(w * (e - f) ** 2 for w, e, f in zip(weight, errors, last, strict=True))
+            step = min(max(sums["moved"] / bend, 1 / largest), 1e4 / largest) if bend and cost <= 4 * least else 1 / largest
+        least = min(least, cost)
         slopes.append([e * w * step for e, w in zip(errors, weight, strict=True)])
-    return rate()
+        last = errors
+    kept.unpersist()
+    return state()["rate"]
 
 
 class Mixture:
