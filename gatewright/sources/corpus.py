@@ -217,11 +217,11 @@ POOL = 2000
 ROW_CHECKS = ("stale_feed", "missing_required_field", "value_out_of_range", "duplicate_row", "negative_value", "future_dated_record", "invalid_currency_code", "late_arriving_record", "orphan_instrument_reference", "type_mismatch")
 
 
-def instrument_master(spark: SparkSession) -> DataFrame:
-    return spark.range(1, POOL + 1).select(F.format_string("INST-%05d", "id").alias("instrument_id"))
+def instrument_master(spark: SparkSession, pool: int = POOL) -> DataFrame:
+    return spark.range(1, pool + 1).select(F.format_string("INST-%05d", "id").alias("instrument_id"))
 
 
-def _feed_rows(spark: SparkSession, files: DataFrame, run_date: str, seed: int) -> DataFrame:
+def _feed_rows(spark: SparkSession, files: DataFrame, run_date: str, seed: int, pool: int = POOL) -> DataFrame:
     """Valid rows of files (source_file, schema_name, vendor, bound, n_rows, offset)."""
     rows = files.select("*", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("r"))
     u = lambda what: _unit(seed, F.lit(what), F.col("source_file"), F.col("r"))
@@ -229,7 +229,7 @@ def _feed_rows(spark: SparkSession, files: DataFrame, run_date: str, seed: int)
     return rows.select(
         "source_file",
         (F.col("r") + 1).alias("at"),
-        F.format_string("INST-%05d", ((F.col("offset") + F.col("r")) % POOL + 1).cast("int")).alias("instrument_id"),
+        F.format_string("INST-%05d", ((F.col("offset") + F.col("r")) % pool + 1).cast("int")).alias("instrument_id"),
         F.date_sub(F.to_date(F.lit(run_date)), 1).cast("string").alias("as_of_date"),
         F.lit(run_date).alias("received_at"),
         _one_of(("USD", "EUR", "GBP", "JPY", "CHF"), u("ccy")).alias("currency"),
@@ -247,9 +247,13 @@ _FILE = "source_file string, schema_name string, vendor string, bound double, n_
 
 
 def feed_corpus(spark: SparkSession, *, files_per_schema: int = 30, rows_per_file: int = 1000, run_date: str = "2026-10-05", seed: int = 7) -> DataFrame:
-    """Rows of a clean feed corpus; ``sinks.write_named_csv`` makes files of them."""
-    files = [(f"{VENDORS[f % 6]}_{s}_{run_date}_{f:03d}.csv", s, VENDORS[f % 6], bound, rows_per_file, (f * rows_per_file) % POOL) for s, _, bound, _ in feed_schemas() for f in range(files_per_schema)]
-    return _feed_rows(spark, spark.createDataFrame(files, _FILE), run_date, seed)
+    """Rows of a clean feed corpus; ``sinks.write_named_csv`` makes files of them.
+
+    The pool of instruments is large enough that no schema has one twice.
+    """
+    pool = max(POOL, files_per_schema * rows_per_file)
+    files = [(f"{VENDORS[f % 6]}_{s}_{run_date}_{f:03d}.csv", s, VENDORS[f % 6], bound, rows_per_file, f * rows_per_file) for s, _, bound, _ in feed_schemas() for f in range(files_per_schema)]
+    return _feed_rows(spark, spark.createDataFrame(files, _FILE), run_date, seed, pool)
 
 
 def feed_defects(spark: SparkSession, *, files_per_schema: int = 6, rows_per_file: int = 150, run_date: str = "2026-10-05", seed: int = 7) -> tuple[DataFrame, DataFrame]:
