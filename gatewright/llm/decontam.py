@@ -26,16 +26,25 @@ from .kernels import LOWER, PUNCT, PUNCT_RAW, pieces, word_hashes, words
 from .scratch import PREFIX, materialize, unwrap, wrap
 
 WINDOW = 13
-#: Bytes of benchmark text in one block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one block. Its index takes some twenty times as much in each worker.
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
-class WindowIndex:
+class ItemWindows:
+    """The distinct windows of a block of items."""
+
     vocab: np.ndarray  # sorted word hashes
-    windows: np.ndarray  # (windows, WINDOW) word numbers, -1 beyond the length
+    windows: np.ndarray  # (windows, width) word numbers, -1 beyond the length
     lengths: np.ndarray
-    items: list[list[str]]  # the items of each window
+    names: list[str]  # item ids, sorted
+    first_item: np.ndarray  # window -> first of its entries below
+    item: np.ndarray  # item numbers
+
+
+@dataclass
+class WindowIndex:
+    of: ItemWindows
     first: np.ndarray  # word number -> first of its entries below
     entry_window: np.ndarray  # a window of which this word is the prefix
     entry_at: np.ndarray  # where the word stands in it
@@ -64,14 +73,25 @@ def numbered(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocab[at] == h, at, -1)
 
 
-def item_windows(items: list[tuple[str, str | None]], width: int = WINDOW) -> dict[tuple[int, ...], set[str]]:
-    """Each distinct window, as word hashes, with the items that hold it."""
-    out: dict[tuple[int, ...], set[str]] = {}
-    for row, h in text_words(pa.array([t for _, t in items], pa.string())):
-        h = [int(x) for x in h]
-        for at in range(max(1, len(h) - width + 1) if h else 0):
-            out.setdefault(tuple(h[at : at + width]), set()).add(items[row][0])
-    return out
+def item_windows(items: list[tuple[str, str | None]], width: int = WINDOW) -> ItemWindows:
+    """All distinct windows of the items, with the items that hold each."""
+    names = sorted({i for i, _ in items})
+    number = {n: k for k, n in enumerate(names)}
+    found = list(text_words(pa.array([t for _, t in items], pa.string())))
+    found = [(number[items[row][0]], h) for row, h in found if len(h)]
+    sizes = np.array([len(h) for _, h in found], np.int64)
+    vocab, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for _, h in found]]), return_inverse=True)
+    many = np.maximum(sizes - width + 1, 1)
+    before = np.cumsum(sizes) - sizes
+    start = np.repeat(before - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    length = np.repeat(np.minimum(sizes, width), many)
+    owner = np.repeat(np.array([n for n, _ in found], np.int64), many)
+    places = start[:, None] + np.arange(width)
+    table = np.where(np.arange(width) < length[:, None], ids[np.minimum(places, max(len(ids) - 1, 0))] if len(ids) else -1, -1).astype(np.int32)
+    _, one, same = np.unique(np.ascontiguousarray(table).view(np.dtype((np.void, 4 * width))).ravel(), return_index=True, return_inverse=True)
+    pairs = np.unique(same * max(len(names), 1) + owner) if len(owner) else np.zeros(0, np.int64)
+    window, item = pairs // max(len(names), 1), pairs % max(len(names), 1)
+    return ItemWindows(vocab, table[one], length[one], names, np.searchsorted(window, np.arange(len(one) + 1)), item)
 
 
 def word_frequencies(docs: DataFrame, vocab: np.ndarray, text_col: str) -> np.ndarray:
@@ -94,22 +114,20 @@ def word_frequencies(docs: DataFrame, vocab: np.ndarray, text_col: str) -> np.nd
     return out
 
 
-def build_index(windows: dict[tuple[int, ...], set[str]], vocab: np.ndarray, frequency: np.ndarray, width: int = WINDOW) -> WindowIndex:
-    keys = sorted(windows)
-    table, lengths = np.full((len(keys), width), -1, np.int64), np.array([len(k) for k in keys], np.int64)
-    for i, k in enumerate(keys):
-        table[i, : len(k)] = numbered(vocab, np.array(k, np.uint64))
-    rarity = np.where(table >= 0, frequency[table] if len(frequency) else 0, np.iinfo(np.int64).max)
-    at = rarity.argmin(1) if len(keys) else np.zeros(0, np.int64)
-    word = table[np.arange(len(keys)), at]
+def build_index(of: ItemWindows, frequency: np.ndarray) -> WindowIndex:
+    """The windows keyed by their rarest word."""
+    if not len(of.windows):
+        return WindowIndex(of, np.zeros(len(of.vocab) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    at = np.where(of.windows >= 0, frequency[of.windows], np.iinfo(np.int64).max).argmin(1)
+    word = of.windows[np.arange(len(at)), at]
     order = np.argsort(word, kind="stable")
-    first = np.searchsorted(word[order], np.arange(len(vocab) + 1))
-    return WindowIndex(vocab, table, lengths, [sorted(windows[k]) for k in keys], first, order, at[order])
+    return WindowIndex(of, np.searchsorted(word[order], np.arange(len(of.vocab) + 1)), order, at[order])
 
 
 def find_windows(index: WindowIndex, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, window) of every occurrence of a window in a text of these words."""
-    n = numbered(index.vocab, h)
+    of = index.of
+    n = numbered(of.vocab, h)
     known = np.flatnonzero(n >= 0)
     many = index.first[n[known] + 1] - index.first[n[known]]
     known, many = known[many > 0], many[many > 0]
@@ -120,10 +138,10 @@ def find_windows(index: WindowIndex, h: np.ndarray) -> tuple[np.ndarray, np.ndar
         entry = np.repeat(index.first[n[place]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         window = index.entry_window[entry]
         start = np.repeat(place, count) - index.entry_at[entry]
-        fits = (start >= 0) & (start + index.lengths[window] <= len(n))
+        fits = (start >= 0) & (start + of.lengths[window] <= len(n))
         start, window = start[fits], window[fits]
-        for j in range(index.windows.shape[1]):
-            want = index.windows[window, j]
+        for j in range(of.windows.shape[1]):
+            want = of.windows[window, j]
             same = (want < 0) | (n[np.minimum(start + j, len(n) - 1)] == want)
             start, window = start[same], window[same]
         found.append((start, window))
@@ -148,8 +166,10 @@ def scan_column(index: WindowIndex, column: pa.Array) -> tuple[list[int], list[l
         n_words[row] = len(h)
         start, window = find_windows(index, h)
         if len(start):
-            spans[row] = covered_spans(start, index.lengths[window])
-            items[row] = sorted({x for w in np.unique(window) for x in index.items[w]})
+            of = index.of
+            spans[row] = covered_spans(start, of.lengths[window])
+            held = [of.item[of.first_item[w] : of.first_item[w + 1]] for w in np.unique(window)]
+            items[row] = [of.names[i] for i in np.unique(np.concatenate(held))]
     return n_words, spans, items
 
 
@@ -163,9 +183,8 @@ def benchmark_blocks(benchmark: DataFrame, *, item_col: str, text_col: str, bloc
 
 
 def make_index(docs: DataFrame, items: list[tuple[str, str | None]], *, text_col: str = "text", width: int = WINDOW) -> WindowIndex:
-    windows = item_windows(items, width)
-    vocab = np.unique(np.array([x for k in windows for x in k], np.uint64))
-    return build_index(windows, vocab, word_frequencies(docs, vocab, text_col), width)
+    of = item_windows(items, width)
+    return build_index(of, word_frequencies(docs, of.vocab, text_col))
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())]))
@@ -207,15 +226,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     Words are compared by 64-bit hashes.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = list(_indexes(narrow, benchmark, item_col, item_text_col, width, block_bytes))
-    if len(blocks) == 1:
-        found = _scan(narrow, blocks[0])
+    blocks = _indexes(narrow, benchmark, item_col, item_text_col, width, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = _scan(narrow, first)
     else:
         rows = materialize(narrow.select(F.struct("id", F.monotonically_increasing_id().alias("rid")).alias("id"), "text"), "decontam-rows")
-        parts = [_scan(rows, b) for b in blocks]
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
+        union = materialize(_scan(rows, first), "decontam-hits")
+        while second is not None:  # one block's index at a time; later blocks add the rows they hit
+            union = union.unionByName(materialize(_scan(rows, second).where(F.size("items") > 0), "decontam-hits"))
+            second = next(blocks, None)
         merged = union.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         found = merged.select(F.col("id.id").alias("id"), "n_words", _merged(F.col("spans")).alias("spans"), "items")
     return found.select(F.col("id").alias(id_col), "n_words", _hit_words(F.col("spans")).alias("n_hit"), "spans", "items")
@@ -227,7 +247,7 @@ def _indexes(narrow: DataFrame, benchmark: DataFrame, item_col: str, item_text_c
         none = False
         yield make_index(narrow, items, width=width)
     if none:
-        yield build_index({}, np.zeros(0, np.uint64), np.zeros(0, np.int64), width)
+        yield build_index(item_windows([], width), np.zeros(0, np.int64))
 
 
 def contaminated(n_hit, n_words):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from gatewright.llm import decontam, kernels
@@ -61,11 +62,8 @@ def test_spans_cover_the_hit_words(spark):
 def test_cut_texts_keep_their_windows(monkeypatch):
     rows, items = planted()
     items = [(str(i), t) for i, t in items if i is not None]
-    windows = decontam.item_windows(items)
-    import numpy as np
-
-    vocab = np.unique(np.array([x for k in windows for x in k], np.uint64))
-    index = decontam.build_index(windows, vocab, np.arange(len(vocab)))
+    of = decontam.item_windows(items)
+    index = decontam.build_index(of, np.arange(len(of.vocab)))
     texts = pa.array([r[1] for r in rows])
     whole = decontam.scan_column(index, texts)
     monkeypatch.setattr(decontam, "pieces", lambda c, separators: kernels.pieces(c, 50, separators))
