@@ -36,7 +36,7 @@ BASE = math.sqrt(2)
 FILTER_BITS = 1 << 28
 HASHES = 5
 BLOCK_BITS = 1 << 19
-WEIGHT = 0.1
+WEIGHT = 0.2
 #: The most frequent words whose exact counts are broadcast, at most.
 FREQUENT = 1 << 18
 #: Bytes of training text for each range of hashes, and of each counted chunk.

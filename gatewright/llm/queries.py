@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,16 @@ from . import decontam, langid, license_scan, lm, mixing, oracle, quality, shard
 from .scratch import bucket_of
 
 
+#: Where this package stands on the driver.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a directory. Python workers on the driver's machine get the package's place, in
+    whatever folder the driver runs; on a cluster the package is installed or sent along."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{paths}:{ROOT}".strip(":")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
