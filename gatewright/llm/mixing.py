@@ -5,7 +5,7 @@ over binned features (shares of symbols and capitals, length, and how many words
 lexicon learned for each domain the text holds) gives every document a posterior over domains.
 Nonnegative rates are then fitted so that the expected tokens of each domain, the sum of
 tokens * posterior * rate, match the targets: least squares on the errors relative to the
-targets, by projected gradient steps of spectral length, each an aggregate over all rows.
+targets, by accelerated projected gradient steps, each an aggregate over all rows.
 
 A step is scaled by a document's tokens, so it depends on the posterior alone; documents of one
 feature cell keep one rate. The number of cells is bounded by the bins, so the rows of each
@@ -43,7 +43,7 @@ def _bin(value: Column, bounds: tuple) -> Column:
 
 
 def learn_lexicons(docs: DataFrame, domains: DataFrame, names: list[str], *, text_col: str, id_col: str, size: int = 64, min_docs: int = 4, max_docs_per_domain: int = 1000) -> dict[str, list[str]]:
-    """For each domain the ``size`` words that its documents hold most above the others' rate.
+    """For each domain the ``size`` words that its documents hold most above the others' rate, twice it at least.
 
     The lexicon, a part of the classifier, is fitted on a bounded sample: about
     ``max_docs_per_domain`` labelled documents of each domain, chosen by a hash of the id.
@@ -64,7 +64,7 @@ def learn_lexicons(docs: DataFrame, domains: DataFrame, names: list[str], *, tex
         own = drawn_of.get(d, 0)
         expected = everywhere * (own / total)
         score = (F.col(f"n_{i}") - expected) / F.sqrt(expected + 1)
-        top = words.where((F.col(f"n_{i}") >= min_docs) & (score > 2.5)).orderBy(score.desc(), "word").limit(size)
+        top = words.where((F.col(f"n_{i}") >= min_docs) & (score > 4) & (F.col(f"n_{i}") > 2 * expected)).orderBy(score.desc(), "word").limit(size)
         out[d] = [r["word"] for r in top.select("word").collect()]
     return out
 
@@ -117,11 +117,14 @@ def posteriors(counts: DataFrame, names: list[str], sizes: list[int], cell: Colu
     return [F.exp(x - top) / total for x in logs]
 
 
-def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *, rounds: int = 150, tolerance: float = 1e-3) -> Column:
+def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *, keep_domain: str | None = None, max_rate: float = 16.0, rounds: int = 100, patience: int = 20, tolerance: float = 1e-3) -> Column:
     """The rate of a cell as a Column over ``p`` (its posteriors), fitted on cells (tokens, p).
 
-    ``targets`` are tokens of each domain. Every round sums the expected tokens over all rows;
-    only as many numbers as there are domains come back.
+    ``targets`` are tokens of each domain. Rates lie between 0 and ``max_rate``, and are one or
+    more in cells that most likely belong to ``keep_domain``. The fit ends when all targets are
+    met within ``tolerance``, or when ``patience`` rounds have brought it no hundredth nearer, as
+    when the bounds forbid the targets. Every round sums the expected tokens over all rows; only
+    as many numbers as there are domains, and the test for a restart, come back.
     """
     k = range(len(names))
     p = [F.element_at("p", i + 1) for i in k]
@@ -129,38 +132,46 @@ def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *,
     gram = cells.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k]).first()
     g = [[(gram[f"g{i}_{j}"] or 0.0) * math.sqrt(weight[i] * weight[j]) for j in k] for i in k]
     largest = max((sum(abs(x) for x in line) for line in g), default=0.0)  # bounds the largest eigenvalue
-    step = 1 / largest if largest else 0.0
-    slopes: list[list[float]] = []
+    floor = F.lit(0.0) if keep_domain is None else F.when(p[names.index(keep_domain)] >= 0.5, 1.0).otherwise(0.0)
+    steps: list[list[float]] = []  # of each step its slope by domain, and its momentum
 
     def state() -> Column:
-        """The rate after all steps so far, and before the last. The steps are data to one
-        expression, so every round runs the same code."""
-        along = lambda slope: sum((p[i] * slope[i] for i in k), F.lit(0.0))
-        done = F.from_json(F.lit(json.dumps(slopes)), "array<array<double>>")
-        start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"))
-        return F.aggregate(done, start, lambda x, slope: F.struct(F.greatest(F.lit(0.0), x["rate"] - along(slope)).alias("rate"), x["rate"].alias("before")))
-
-    last: list[float] | None = None
-    least = math.inf
+        """Rates after all steps. The steps are data to one expression, so every round runs the same code."""
+        done = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+        start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"), F.lit(0.0).alias("turn"))
+
+        def take(x: Column, step: Column) -> Column:
+            along = sum((p[i] * step[i] for i in k), F.lit(0.0))
+            rate = F.least(F.greatest(floor, x["ahead"] - along), F.lit(max_rate))
+            return F.struct(rate.alias("rate"), (rate + step[len(names)] * (rate - x["rate"])).alias("ahead"), ((x["ahead"] - rate) * (rate - x["rate"])).alias("turn"))
+
+        return F.aggregate(done, start, take)
+
     kept = cells.select("tokens", "p").cache()  # the bins bound its rows; lost parts are read again
-    for _ in range(rounds):
-        now = kept.withColumn("s", state())
-        moved = F.col("s.rate") - F.col("s.before")
-        sums = now.agg(*[F.sum(F.col("tokens") * p[i] * F.col("s.rate")).alias(f"m{i}") for i in k], F.sum(F.col("tokens") * moved * moved).alias("moved"), F.sum("tokens").alias("tokens")).first()
-        errors = [(sums[f"m{i}"] or 0.0) - targets[d] for i, d in enumerate(names)]
-        if max(abs(e) * w for e, w in zip(errors, weight, strict=True)) < tolerance:
+
+    def totals() -> tuple[list[float], float]:
+        s = F.col("s")
+        row = kept.withColumn("s", state()).agg(*[F.sum(F.col("tokens") * p[i] * s["rate"]).alias(f"m{i}") for i in k], F.sum(F.col("tokens") * s["turn"]).alias("turn")).first()
+        return [row[f"m{i}"] or 0.0 for i in k], row["turn"] or 0.0
+
+    goal = [targets[d] for d in names]
+    held, _ = totals()
+    ahead, inertia, near, mark = held, 1.0, math.inf, 0
+    for n in range(rounds):
+        errors = [m - t for m, t in zip(held, goal, strict=True)]
+        cost = sum(w * e * e for w, e in zip(weight, errors, strict=True))
+        if cost < 0.99 * near:
+            near, mark = cost, n
+        if not largest or max(abs(e) * w for e, w in zip(errors, weight, strict=True)) < tolerance or n - mark >= patience:
             break
-        cost = sum(w * e * e for e, w in zip(errors, weight, strict=True))
-        if last is not None:
-            if sums["moved"] <= (tolerance * 1e-3) ** 2 * sums["tokens"]:
-                break  # as near as nonnegative rates come
-            # The spectral step: the squared move against the change of slope along it. A step
-            # that made things much worse is followed by a short one.
-            bend = sum(w * (e - f) ** 2 for w, e, f in zip(weight, errors, last, strict=True))
-            step = min(max(sums["moved"] / bend, 1 / largest), 1e4 / largest) if bend and cost <= 4 * least else 1 / largest
-        least = min(least, cost)
-        slopes.append([e * w * step for e, w in zip(errors, weight, strict=True)])
-        last = errors
+        steps.append([*[(m - t) * w / largest for m, t, w in zip(ahead, goal, weight, strict=True)], 0.0])
+        last, (held, turn) = held, totals()
+        if turn > 0:  # momentum leads uphill: start it anew
+            inertia = 1.0
+        else:
+            grown = (1 + math.sqrt(1 + 4 * inertia * inertia)) / 2
+            steps[-1][-1], inertia = (inertia - 1) / grown, grown
+        ahead = [m + steps[-1][-1] * (m - b) for m, b in zip(held, last, strict=True)]
     kept.unpersist()
     return state()["rate"]
 
@@ -172,10 +183,11 @@ class Mixture:
         self.names, self.lexicons, self.rates, self.features = names, lexicons, rates, features
 
 
-def fit_mixture(docs: DataFrame, domains: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", total: float | None = None) -> Mixture:
+def fit_mixture(docs: DataFrame, domains: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, **options) -> Mixture:
     """Fit posteriors and rates. ``domains`` has (id, domain); ``targets`` the share of each domain.
 
-    ``total`` is the number of expected tokens, by default the tokens of ``docs``. Null ids and
+    ``total`` is the number of expected tokens, by default the tokens of ``docs``; other options
+    are those of ``fit_rates``. Null ids and
     domains teach nothing; an id labelled twice counts for each label; without labels all
     posteriors are even. Empty ``docs`` give empty results.
     """
@@ -191,7 +203,7 @@ def fit_mixture(docs: DataFrame, domains: DataFrame, targets: dict[str, float],
     cells = materialize(sums.select("cell", "tokens", "docs", F.array(*posteriors(labelled, names, sizes, F.col("cell"))).alias("p")).coalesce(1), "mixing-cells")
     tokens = total if total is not None else float(cells.agg(F.sum("tokens")).first()[0] or 0)
     scale = sum(targets.values())
-    rate = fit_rates(cells, names, {d: tokens * t / scale for d, t in targets.items()})
+    rate = fit_rates(cells, names, {d: tokens * t / scale for d, t in targets.items()}, **options)
     return Mixture(names, lexicons, cells.select("cell", "p", rate.alias("rate"), "tokens", "docs"), features)
 
 
@@ -205,15 +217,10 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], *, text_
     """``docs`` with each row as often as its rate says, with all columns: the mixture itself.
 
     A rate of r gives floor(r) copies and one more with probability r - floor(r), drawn by a
-    seeded hash of the row. ``keep_domain``: rates are scaled, which changes no weight of the
-    mixture, so that no cell that most likely belongs to this domain has a rate below one.
+    seeded hash of the row. Rows that most likely belong to ``keep_domain`` have rates of one or more.
     """
-    mixture = fit_mixture(docs, domains, targets, text_col=text_col, **options)
+    mixture = fit_mixture(docs, domains, targets, text_col=text_col, keep_domain=keep_domain, **options)
     rates = mixture.rates
-    if keep_domain is not None:
-        at = mixture.names.index(keep_domain) + 1
-        least = rates.where((F.element_at("p", at) >= 0.5) & (F.col("rate") > 0)).agg(F.min("rate")).first()[0]
-        rates = rates.withColumn("rate", F.col("rate") / F.lit(min(least or 1.0, 1.0)))
     row = F.col(PREFIX + "row")
     f, _ = feature_bins(row[text_col], mixture.lexicons)
     found = wrap(docs).select(row, f["cell"].alias("cell")).join(F.broadcast(rates.select("cell", "rate")), "cell")

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Shares of the expected tokens: junk and toxic text are thinned, the rest takes their place.
-MIX_TARGETS = {"clean": 0.95, "junk": 0.03, "toxic": 0.02}
+MIX_TARGETS = {"clean": 0.91, "junk": 0.07, "toxic": 0.02}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

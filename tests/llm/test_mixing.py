@@ -54,18 +54,17 @@ def test_rates_equal_those_of_plain_projected_gradient(spark):
     t = [TARGETS[d] * total for d in sorted(TARGETS)]
     gram = [[sum(n * p[i] * p[j] for n, p, _ in cells) / (t[i] * t[j]) ** 0.5 for j in range(3)] for i in range(3)]
     largest = max(sum(abs(x) for x in line) for line in gram)
-    step, last, before, least = 1 / largest, None, None, float("inf")
-    rate = [1.0] * len(cells)
-    for _ in range(150):
-        e = [(sum(n * p[i] * r for (n, p, _), r in zip(cells, rate)) - t[i]) for i in range(3)]
-        if max(abs(e[i]) / t[i] for i in range(3)) < 1e-3:
+    rate, ahead, inertia = [1.0] * len(cells), [1.0] * len(cells), 1.0
+    mass = lambda r: [sum(n * p[i] * x for (n, p, _), x in zip(cells, r)) for i in range(3)]
+    for _ in range(100):
+        if max(abs(m - u) / u for m, u in zip(mass(rate), t)) < 1e-3:
             break
-        cost = sum(e[i] ** 2 / t[i] for i in range(3))
-        if last:
-            moved = sum(n * (a - b) ** 2 for (n, _, _), a, b in zip(cells, rate, before))
-            step = min(max(moved / sum((e[i] - last[i]) ** 2 / t[i] for i in range(3)), 1 / largest), 1e4 / largest) if cost <= 4 * least else 1 / largest
-        before, last, least = rate, e, min(least, cost)
-        rate = [max(0.0, r - step * sum(p[i] * e[i] / t[i] for i in range(3))) for (_, p, _), r in zip(cells, rate)]
+        e = [(m - u) / u / largest for m, u in zip(mass(ahead), t)]
+        new = [min(max(0.0, y - sum(p[i] * e[i] for i in range(3))), 16.0) for (_, p, _), y in zip(cells, ahead)]
+        turn = sum(n * (y - x) * (x - r) for (n, _, _), y, x, r in zip(cells, ahead, new, rate))
+        grown = 1.0 if turn > 0 else (1 + (1 + 4 * inertia * inertia) ** 0.5) / 2
+        beta = 0.0 if turn > 0 else (inertia - 1) / grown
+        ahead, rate, inertia = [x + beta * (x - r) for x, r in zip(new, rate)], new, grown
     assert [c[2] for c in cells] == pytest.approx(rate, abs=1e-4)
 
 
