@@ -90,8 +90,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = bucket_of(F.col("doc_id"), 7)
-    counts = lm.ngram_counts(docs.where((fold >= 0) & (fold != 2)))
-    found = lm.score_documents(docs, lm.fit_lm(counts), counts)
+    found = lm.score_corpus(docs, (fold >= 0) & (fold != 2))
     return found.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gatewright.llm import kernels, lm
 
@@ -95,3 +96,41 @@ def test_empty_training_and_empty_table(spark):
     got = lm.score_documents(frame(spark, odd_rows()), model, counts).collect()
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in got} == {(0, 0, 0.0)}
     assert lm.score_documents(frame(spark, []), model, counts).collect() == []
+
+
+def test_corpus_scores_come_from_every_ngram(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 200)
+    rows = [(-7, " ".join(f"only{k} once{k}" for k in range(300)), "en", "s", 0), *rows_()]
+    train = [r for r in rows if r[0] and r[0] % 2]
+    got = lm.score_corpus(frame(spark, rows, extra=True), F.col("doc_id") % 2 != 0).collect()
+    tokens = lambda r: [None, *WHITE.findall(lower(r[1])), None]
+    uni, bi = Counter(w for r in train for w in tokens(r)[1:]), Counter(p for r in train for p in zip(tokens(r), tokens(r)[1:]))
+    n, v = sum(uni.values()), len(uni)
+    level = lambda c: float(lm.LEVEL_COUNTS[lm.level_of(np.array([c]))[0]]) if c else 0.0
+    want = []
+    for r in rows:
+        t = tokens(r)
+        base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t[1:])
+        score = sum(math.log10(lm.WEIGHT * min(level(bi[a, b]) / max(level(uni[a]), 1), 1) + (1 - lm.WEIGHT) * (level(uni[b]) + 1) / (n + v + 1)) for a, b in zip(t, t[1:]))
+        want.append((r[0], len(t) - 1, sum(uni[w] > 0 for w in t[1:]), round(base, 6), score))
+    key = lambda x: (repr(x[:4]), x[4])
+    have = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), r["score"]) for r in got), key=key)
+    want.sort(key=key)
+    assert [x[:4] for x in have] == [x[:4] for x in want]
+    close = [abs(a[4] - b[4]) <= 0.02 * abs(b[4]) for a, b in zip(have, want)]  # filters err on the side of more
+    assert sum(close) >= 0.95 * len(close)
+    assert close[next(i for i, x in enumerate(want) if x[0] == -7)]  # all its bigrams were seen once
+    assert {r["train_tokens"] for r in got} == {n}
+
+
+def test_filters_grow_with_their_ngrams():
+    h = np.arange(1, 400001, dtype=np.uint64) * np.uint64(7919)
+    f = lm.filter_of(2, h, np.ones(len(h), np.int64))
+    assert f.bits.size * 8 >= len(h) * lm.HASHES
+    assert (f.levels(2, h) >= 1).all() and (f.levels(2, h) == 1).mean() > 0.9
+
+
+def test_corpus_without_training_rows_or_rows(spark):
+    got = lm.score_corpus(frame(spark, odd_rows()), F.lit(False)).collect()
+    assert len(got) == len(odd_rows()) and {(r["n_known"], r["train_tokens"], r["base_score"]) for r in got} == {(0, 0, 0.0)}
+    assert lm.score_corpus(frame(spark, []), F.lit(True)).collect() == []
