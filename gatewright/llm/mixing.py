@@ -15,6 +15,7 @@ step are cells with their summed tokens.
 from __future__ import annotations
 
 import json
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,11 @@ CAPITAL_BINS = (0.08, 0.3)
 LENGTH_BINS = (16, 128, 1024)
 LEXICON_BINS = (0, 1)
 MAX_DOMAINS = 5
+TOLERANCE = 1e-3
+#: The largest part of its expected share that a domain to be thinned is to keep.
+THIN = 0.5
+
+log = logging.getLogger(__name__)
 
 
 def _words(text: Column) -> Column:
@@ -117,8 +123,8 @@ def posteriors(counts: DataFrame, names: list[str], sizes: list[int], cell: Colu
     return [F.exp(x - top) / total for x in logs]
 
 
-def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *, keep_domain: str | None = None, max_rate: float = 16.0, rounds: int = 100, patience: int = 20, tolerance: float = 1e-3) -> Column:
-    """The rate of a cell as a Column over ``p`` (its posteriors), fitted on cells (tokens, p).
+def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *, keep_domain: str | None = None, max_rate: float = 16.0, rounds: int = 100, patience: int = 20, tolerance: float = TOLERANCE) -> tuple[Column, dict[str, float]]:
+    """The rate of a cell as a Column over ``p`` (its posteriors), fitted on cells (tokens, p), and the tokens it gives each domain.
 
     ``targets`` are tokens of each domain. Rates lie between 0 and ``max_rate``, and are one or
     more in cells that most likely belong to ``keep_domain``. The fit ends when all targets are
@@ -173,21 +179,36 @@ def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *,
             steps[-1][-1], inertia = (inertia - 1) / grown, grown
         ahead = [m + steps[-1][-1] * (m - b) for m, b in zip(held, last, strict=True)]
     kept.unpersist()
-    return state()["rate"]
+    return state()["rate"], dict(zip(names, held, strict=True))
+
+
+def thinned(goal: dict[str, float], before: dict[str, float], thin: tuple[str, ...]) -> dict[str, float]:
+    """Shares aimed at, where those of ``thin`` are at most ``THIN`` of the ones before and the others take what that frees."""
+    low = {d: min(goal[d], THIN * before[d]) for d in goal if d in thin}
+    rest = sum(t for d, t in goal.items() if d not in low)
+    return {d: low[d] if d in low else (1 - sum(low.values())) * t / rest for d, t in goal.items()}
 
 
 class Mixture:
     """A fitted mixture: rates and posteriors by feature cell, for the documents it was fitted on."""
 
-    def __init__(self, names: list[str], lexicons: dict[str, list[str]], rates: DataFrame, features: DataFrame):
+    def __init__(self, names: list[str], lexicons: dict[str, list[str]], rates: DataFrame, features: DataFrame, before: dict[str, float], goal: dict[str, float], reached: dict[str, float]):
         self.names, self.lexicons, self.rates, self.features = names, lexicons, rates, features
+        #: Expected tokens of each domain, as parts of ``total``: at rate 1, aimed at, and at the fitted rates.
+        self.before, self.goal, self.reached = before, goal, reached
+
+    def unmet(self) -> list[str]:
+        """The domains whose target the fit did not reach, as when the bounds of the rates forbid it."""
+        return [d for d in self.names if abs(self.reached[d] - self.goal[d]) > TOLERANCE * max(self.goal[d], TOLERANCE)]
 
 
-def fit_mixture(docs: DataFrame, domains: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, **options) -> Mixture:
+def fit_mixture(docs: DataFrame, domains: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, thin: tuple[str, ...] = (), **options) -> Mixture:
     """Fit posteriors and rates. ``domains`` has (id, domain); ``targets`` the share of each domain.
 
-    ``total`` is the number of expected tokens, by default the tokens of ``docs``; other options
-    are those of ``fit_rates``. Null ids and
+    ``total`` is the number of expected tokens, by default the tokens of ``docs``. The target of a
+    domain of ``thin`` is at most ``THIN`` of its expected share in ``docs``; what that frees goes to
+    the other domains. A target that is not reached is logged, with what is. Other options are those
+    of ``fit_rates``. Null ids and
     domains teach nothing; an id labelled twice counts for each label; without labels all
     posteriors are even. Empty ``docs`` give empty results.
     """
@@ -201,10 +222,16 @@ def fit_mixture(docs: DataFrame, domains: DataFrame, targets: dict[str, float],
     labelled = features.join(known, "id").groupBy("domain", "cell").agg(F.count("*").alias("n"))
     sums = features.groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     cells = materialize(sums.select("cell", "tokens", "docs", F.array(*posteriors(labelled, names, sizes, F.col("cell"))).alias("p")).coalesce(1), "mixing-cells")
-    tokens = total if total is not None else float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    scale = sum(targets.values())
-    rate = fit_rates(cells, names, {d: tokens * t / scale for d, t in targets.items()}, **options)
-    return Mixture(names, lexicons, cells.select("cell", "p", rate.alias("rate"), "tokens", "docs"), features)
+    held = cells.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.element_at("p", i + 1)) for i in range(len(names))]).first()
+    tokens = total if total is not None else float(held[0] or 0)
+    share = lambda by_domain: {d: by_domain[d] / tokens if tokens else 0.0 for d in names}
+    before = share({d: held[i + 1] or 0.0 for i, d in enumerate(names)})
+    goal = thinned({d: t / sum(targets.values()) for d, t in targets.items()}, before, thin)
+    rate, found = fit_rates(cells, names, {d: tokens * t for d, t in goal.items()}, **options)
+    mixture = Mixture(names, lexicons, cells.select("cell", "p", rate.alias("rate"), "tokens", "docs"), features, before, goal, share(found))
+    if tokens and mixture.unmet():
+        log.warning("mixing: targets of %s are not reached: before %s, aimed at %s, reached %s", ", ".join(mixture.unmet()), before, goal, mixture.reached)
+    return mixture
 
 
 def document_rates(mixture: Mixture, *, id_col: str = "doc_id") -> DataFrame:

@@ -25,8 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Shares of the expected tokens: junk and toxic text are thinned, the rest takes their place.
+#: Shares of the expected tokens of all documents: junk and toxic text are thinned, the rest takes their place.
 MIX_TARGETS = {"clean": 0.91, "junk": 0.07, "toxic": 0.02}
+#: The same after the stages before mixing, which leave less junk than that.
+STAGE_TARGETS = {"clean": 0.95, "junk": 0.03, "toxic": 0.02}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

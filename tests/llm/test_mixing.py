@@ -88,3 +88,35 @@ def test_no_labels_and_empty_tables(spark):
     assert len(out) == len(odd_rows()) and all(r["p_junk"] == pytest.approx(1 / 3) for r in out)
     assert mixing.document_rates(mixing.fit_mixture(frame(spark, []), none, TARGETS)).collect() == []
     assert mixing.mix(frame(spark, []), none, TARGETS).collect() == []
+
+
+def test_thinned_domains_are_never_raised(spark, caplog):
+    rows, labels = corpus()
+    rows = [r for r in rows if not (r[0] and r[0] >= 2000 and (r[0] - 2000) % 5 == 2 and r[0] % 20)]  # little junk is left
+    domains = spark.createDataFrame(labels, "doc_id long, domain string")
+    raised = {"clean": 0.5, "junk": 0.3, "toxic": 0.2}
+    mixture = mixing.fit_mixture(frame(spark, rows), domains, raised, thin=("junk", "toxic"), keep_domain="clean", max_rate=2.0)
+    assert mixture.before["junk"] < 0.3 and mixture.goal["junk"] == pytest.approx(mixing.THIN * mixture.before["junk"])
+    assert sum(mixture.goal.values()) == pytest.approx(1)
+    out = mixing.document_rates(mixture).collect()
+    total = sum(r["n_tokens"] for r in out)
+    for d in raised:
+        assert mixture.reached[d] == pytest.approx(sum(r["n_tokens"] * r[f"p_{d}"] * r["rate"] for r in out) / total)
+    assert mixture.reached["junk"] < mixture.before["junk"]
+    strict = mixing.fit_mixture(frame(spark, rows), domains, {"clean": 0.2, "junk": 0.01, "toxic": 0.79}, keep_domain="clean", max_rate=1.0)
+    assert strict.unmet() and "are not reached" in caplog.text  # clean cells cannot fall below one
+
+
+def test_the_stage_lowers_junk():
+    import corpus_pipeline
+    from gatewright.llm import queries
+
+    called = {}
+    real, mixing.mix = mixing.mix, lambda docs, domains, targets, **options: called.update(targets=targets, **options)
+    table, queries.table = queries.table, lambda *a: None
+    of, queries.label_domains = queries.label_domains, lambda x: x
+    try:
+        corpus_pipeline.mixing_stage(None, None, "")
+    finally:
+        mixing.mix, queries.table, queries.label_domains = real, table, of
+    assert called["targets"]["junk"] <= 0.03 and set(called["thin"]) == {"junk", "toxic"}
