@@ -1,7 +1,9 @@
 """License scan as an exact set-similarity join, in DataFrame functions only.
 
 Templates are short license notices. A text block is a line, or overlapping windows of a long
-line. The join finds every (block, template) whose shared distinct tokens are at least
+line, or one of the overlapping windows over the words of the whole text, which find notices
+wrapped over lines. In these the words from the first to the last of a line's hit are left out:
+they belong to its notice and are no part of another. The join finds every (block, template) whose shared distinct tokens are at least
 ``threshold`` of the template's tokens:
 
 * tokens are ordered globally, rarest first, by the number of all texts that hold them;
@@ -146,9 +148,22 @@ def license_hits(docs: DataFrame, *, text_col: str = "text", templates: dict[str
 
     def of_text(lines: Column) -> Column:
         """lines: (passes the gate, words) of each line; the first word of each is a running count."""
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<label:string,containment:double,first_word:bigint,last_word:bigint>>").alias("hits"))
-        step_on = lambda acc, x: F.struct((acc["at"] + F.size(x["words"])).alias("at"), F.when(x["open"], F.concat(acc["hits"], of_line(F.struct(acc["at"].alias("at"), _folded(x["words"]).alias("words"))))).otherwise(acc["hits"]).alias("hits"))
-        return F.aggregate(lines, start, step_on, lambda acc: acc["hits"])
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<label:string,containment:double,first_word:bigint,last_word:bigint>>").alias("hits"), F.array().cast("array<int>").alias("near"))
+        window = lambda word: F.floor(word / step).cast("int")
+        near = lambda acc, x: F.sequence(F.greatest(window(acc["at"]) - 1, F.lit(0)), window(acc["at"] + F.size(x["words"])))
+        step_on = lambda acc, x: F.struct(
+            (acc["at"] + F.size(x["words"])).alias("at"),
+            F.when(x["open"], F.concat(acc["hits"], of_line(F.struct(acc["at"].alias("at"), _folded(x["words"]).alias("words"))))).otherwise(acc["hits"]).alias("hits"),
+            F.when(x["open"], F.array_union(acc["near"], near(acc, x))).otherwise(acc["near"]).alias("near"),
+        )
+        return let(F.aggregate(lines, start, step_on), lambda acc: F.when(F.size(lines) > 1, F.concat(acc["hits"], across(lines, acc))).otherwise(acc["hits"]))
+
+    def across(lines: Column, acc: Column) -> Column:
+        """Hits of the windows of the whole text that touch a line which passes the gate, without the words of the lines' hits."""
+        last = F.floor(F.greatest(acc["at"] - step - 1, F.lit(0)) / step)
+        free = lambda words, at: F.transform(words, lambda w, i: F.when(F.exists(acc["hits"], lambda y: (y["first_word"] <= at + i) & (at + i <= y["last_word"])), "").otherwise(w))
+        of_windows = lambda words: F.flatten(F.transform(F.filter(acc["near"], lambda h: h <= last), lambda h: _hits(_folded(free(F.slice(words, h * step + 1, block_words), h * step)), h * step, order, chosen, threshold)))
+        return let(F.flatten(lines["words"]), of_windows)
 
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.rlike(gate).alias("open"), words_of(x).alias("words")))
     none = F.array().cast("array<struct<label:string,containment:double,first_word:bigint,last_word:bigint>>")

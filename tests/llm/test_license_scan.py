@@ -68,5 +68,24 @@ def test_spans_lie_on_the_notice(spark):
     assert (hit["label"], hit["first_word"], hit["last_word"]) == ("mit", 3, 7)
 
 
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(13)
+    texts = {
+        "gpl-3": "This work is licensed under the GNU General\nPublic License version 3",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+        "mpl-2": "w1 w2\n\n" + sentence(rng, 200) + "\nThis Source Code Form is\nsubject to the terms of the\nMozilla Public License v. 2.0.\n" + sentence(rng, 90),
+        "isc": sentence(rng, 31) + "\nPermission to use, copy, modify, and/or distribute\r\nthis software for any purpose with or\r\nwithout fee is hereby granted",
+    }
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts.values())]
+    rows.append((9, "Released under the MIT License\n" + sentence(rng, 300) + "\nReleased under\nthe MIT License", "en", "s", 0))
+    rows.append((10, "den mit.\nLicensed under the Apache License, Version 2.0.", "de", "s", 0))
+    hits = {r["doc_id"]: r["hits"] for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert [{h["label"] for h in hits[i]} for i in range(4)] == [{label} for label in texts]
+    assert all(h["containment"] == 1.0 for i in range(4) for h in hits[i])
+    assert hits[0][0]["first_word"] == 0 and hits[0][0]["last_word"] == 11
+    assert {h["first_word"] for h in hits[9]} >= {0, 305}  # the one on a line, and the one over two
+    assert {h["label"] for h in hits[10]} == {"apache-2"}  # its words make no other notice with those around
+
+
 def test_empty_table(spark):
     assert license_scan.scan_licenses(frame(spark, [])).collect() == []
