@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import PREFIX, let, materialize, unwrap, wrap
@@ -120,23 +120,23 @@ def binomial_at_most(k: Column, n: Column, rate: float) -> Column:
     return F.aggregate(steps, start, more, lambda acc: acc["total"])
 
 
-def calibrate(signals: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", stratum_col: str = "stratum", alpha: float = 0.02, delta: float = 0.05, max_strata: int = 64) -> DataFrame:
+def calibrate(signals: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", stratum_col: str = "stratum", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """One row for each stratum with its cutoff for each rule (null: none is certified).
 
     ``signals`` has the id, the stratum and the shares. Rows whose base verdict is failed take
-    no part. An id with several labels is good only if all say 1. No more than ``max_strata``
-    strata, those with most labelled rows, get cutoffs, which bounds the table.
+    no part. An id with several labels is good only if all say 1. All strata with labelled
+    rows are tested.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.min("label").alias("label"))
     rows = signals.where(~F.col("base_failed")).join(marked, F.col(id_col) == F.col("id"))
     good, bad = (F.col("label") == 1).cast("long"), (F.col("label") == 0).cast("long")
     tests = [(rule, j, c) for rule, cutoffs in RULES.items() for j, c in enumerate(cutoffs)]
     sums = [F.sum(F.when(F.col(rule) > c, kind).otherwise(F.lit(0))).alias(f"{name}_{rule}_{j}") for rule, j, c in tests for name, kind in (("k", good), ("b", bad))]
-    by_stratum = rows.groupBy(F.col(stratum_col).alias("stratum")).agg(F.sum(good).alias("n"), F.count("*").alias("rows"), *sums)
-    by_stratum = by_stratum.orderBy(F.desc("rows"), "stratum").limit(max_strata)
+    by_stratum = rows.groupBy(F.col(stratum_col).alias("stratum")).agg(F.sum(good).alias("n"), *sums)
+    by_stratum = materialize(by_stratum, "quality-strata")
     rate = alpha / len(RULES)
     one = [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k_{rule}_{j}").alias("k"), F.col(f"b_{rule}_{j}").alias("caught")) for rule, j, c in tests]
-    counted = by_stratum.select("*", F.count("*").over(Window.partitionBy()).alias("strata"))
+    counted = by_stratum.withColumn("strata", F.lit(max(by_stratum.count(), 1)))
     tested = counted.select("stratum", "n", "strata", F.explode(F.array(*one)).alias("t")).select("stratum", "n", "strata", "t.*")
     # At k of rate * n or more the probability is about a half or more, far above any level.
     p_value = F.when(F.col("k") < F.col("n") * rate, binomial_at_most(F.col("k"), F.col("n"), rate)).otherwise(F.lit(1.0))
@@ -161,8 +161,8 @@ def signal_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def verdicts(signals: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``signals`` with ``kept``; the cutoffs have a bounded number of rows, so they are broadcast."""
-    return signals.join(F.broadcast(cutoffs.withColumnRenamed("stratum", PREFIX + "of")), F.col("stratum") == F.col(PREFIX + "of"), "left").withColumn("kept", _kept())
+    """``signals`` with ``kept``; the cutoffs have a small row a stratum, and are joined without a hint."""
+    return signals.join(cutoffs.withColumnRenamed("stratum", PREFIX + "of"), F.col("stratum") == F.col(PREFIX + "of"), "left").withColumn("kept", _kept())
 
 
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -86,6 +86,18 @@ def test_cutoffs_are_those_of_the_binomial_bound(spark):
             assert (cut[stratum][f"cut_{rule}"] if stratum in cut else None) == (best and best[1])
 
 
+def test_no_stratum_is_left_out(spark):
+    rule, n = next(iter(quality.RULES)), 130
+    values = [F.lit(0.0).alias(r) for r in quality.RULES if r != rule]
+    bad = F.col("id") % n >= 120
+    signals = spark.range(70 * n).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / n).cast("string").alias("stratum"), F.lit(False).alias("base_failed"), F.when(bad, 1.0).otherwise(0.0).alias(rule), *values)
+    labels = spark.range(70 * n).select(F.col("id").alias("doc_id"), (~bad).cast("int").alias("quality"))
+    cut = quality.calibrate(signals, labels, alpha=0.5).collect()
+    assert {r["stratum"] for r in cut} == {str(k) for k in range(70)}
+    kept = quality.verdicts(signals, quality.calibrate(signals, labels, alpha=0.5)).where("kept").count()
+    assert kept == 70 * 120
+
+
 @pytest.mark.parametrize(("k", "n", "rate"), [(0, 100, 0.01), (3, 50, 0.1), (10, 5000, 0.004), (49, 50, 0.2), (20, 20000, 0.002)])
 def test_binomial_tail(spark, k, n, rate):
     got = spark.range(1).select(quality.binomial_at_most(F.lit(k).cast("long"), F.lit(n).cast("long"), rate).alias("p")).first()["p"]
