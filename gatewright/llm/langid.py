@@ -26,6 +26,8 @@ from .kernels import column_bytes, pieces
 
 #: What stands before the first byte of a text.
 PAD = 32
+#: The languages whose code lengths are looked up together.
+LANGUAGES_AT_ONCE = 16
 
 
 @dataclass
@@ -131,30 +133,31 @@ def code_lengths(model: PpmModel, column: pa.Array) -> np.ndarray:
             continue
         c = model.classes[padded]
         flat = model.row_of[(c[:-3] * a + c[1:-2]) * a + c[2:-1]] * a + c[3:]
-        bits = model.bits[flat]
         full = np.flatnonzero(np.diff(p.bounds) > 0)
         first = starts[full] - 3
         ends = first + np.diff(p.bounds)[full]
         edges = np.stack([first, ends], axis=1).ravel()
-        if edges[-1] == len(bits):
+        if edges[-1] == len(flat):
             edges = edges[:-1]
-        np.add.at(out, p.rows[full], np.add.reduceat(bits, edges, axis=0, dtype=np.float64)[::2])
+        for k in range(0, len(model.languages), LANGUAGES_AT_ONCE):  # bounds the memory
+            bits = model.bits[:, k : k + LANGUAGES_AT_ONCE][flat]
+            np.add.at(out[:, k : k + LANGUAGES_AT_ONCE], p.rows[full], np.add.reduceat(bits, edges, axis=0, dtype=np.float64)[::2])
     return out
 
 
-def fit_ppm(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_col: Column | None = None, max_docs_per_language: int = 2000, max_languages: int = 64, min_context: int = 4) -> PpmModel | None:
+def fit_ppm(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_col: Column | None = None, max_docs_per_language: int = 2000, min_context: int = 4) -> PpmModel | None:
     """Fit the trees on rows that have a text and a language; None if there are none.
 
     The classifier is fitted on a bounded sample: about ``max_docs_per_language`` whole texts of
-    each language, chosen by a hash of ``sample_col`` (the text itself by default). Of more than
-    ``max_languages`` languages those with most rows are learned.
+    each language, chosen by a hash of ``sample_col`` (the text itself by default). Every language
+    is learned.
     """
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(7), F.col(text_col) if sample_col is None else sample_col), F.lit(1 << 20)).alias("draw"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    found = rows.groupBy("lang").count().collect()  # a row a language
     if not found:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, max_docs_per_language / r["count"]) * (1 << 20)))) for r in found], F.lit(0))
+    share = F.try_element_at(F.create_map(*[F.lit(x) for r in found for x in (r["lang"], int(min(1.0, max_docs_per_language / r["count"]) * (1 << 20)))]), F.col("lang"))
     counted = rows.where(F.col("draw") < share).select("lang", "text").mapInArrow(gram_counts, "lang string, gram long, n long")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not table.num_rows:

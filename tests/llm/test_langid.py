@@ -96,3 +96,14 @@ def test_nothing_to_learn(spark):
     assert langid.fit_ppm(frame(spark, [])) is None
     assert {r["lang_pred"] for r in langid.identify(frame(spark, odd_rows()), None).collect()} == {"und"}
     assert langid.identify(frame(spark, []), None).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    text = lambda k, rng: "".join(chr(0x4E00 + 64 * k + rng.randrange(20)) for _ in range(60))
+    rng = random.Random(18)
+    train = [(1000 * k + i, text(k, rng), f"l{k:02d}", "s", 0) for k in range(70) for i in range(3 if k < 64 else 2)]
+    model = langid.fit_ppm(frame(spark, train))
+    assert model.languages == [f"l{k:02d}" for k in range(70)]
+    held_out = [(k, text(k, rng), None, "s", 0) for k in range(70)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, held_out), model).collect()}
+    assert got == {k: f"l{k:02d}" for k in range(70)}
