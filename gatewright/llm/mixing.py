@@ -1,15 +1,18 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
 A labelled table says for some documents which domain they belong to. A naive Bayes classifier
-over binned features (shares of symbols and capitals, length, and how many words of a small
-lexicon learned for each domain the text holds) gives every document a posterior over domains.
-Nonnegative rates are then fitted so that the expected tokens of each domain, the sum of
-tokens * posterior * rate, match the targets: least squares on the errors relative to the
-targets, by accelerated projected gradient steps, each an aggregate over all rows.
-
-A step is scaled by a document's tokens, so it depends on the posterior alone; documents of one
-feature cell keep one rate. The number of cells is bounded by the bins, so the rows of each
-step are cells with their summed tokens.
+over binned features (shares of symbols, of capitals and of words that repeat the word before,
+length, and how many words of a small lexicon learned for each domain the text holds) gives
+every document a posterior over domains. Nonnegative rates are then fitted so that the expected
+tokens of each domain, the sum of tokens * posterior * rate, match the targets: least squares on
+the errors relative to the targets, by accelerated projected gradient steps, each an aggregate.
+
+A step is scaled by a document's tokens, so it depends on the posterior alone, and that on the
+feature cell alone: documents of one cell keep one rate. So the sum over all documents that a
+step needs is taken once by cell, over all rows; the rounds then sum over cells, whose number is
+bounded by the bins, not by the documents.
+
+The classifier's tables are data to the plan (JSON literals), not generated code.
 """
 
 from __future__ import annotations
@@ -22,14 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_scan import SEPARATORS
-from .scratch import PREFIX, materialize, unwrap, wrap
+from .scratch import PREFIX, drawn, let, materialize, unwrap, wrap
 
 #: Upper bounds of the bins of each share, and of the word count.
 SYMBOL_BINS = (0.002, 0.03, 0.1)
 CAPITAL_BINS = (0.08, 0.3)
+REPEAT_BINS = (0.05, 0.3)
 LENGTH_BINS = (16, 128, 1024)
 LEXICON_BINS = (0, 1)
-MAX_DOMAINS = 5
+#: Lexicons multiply the cells: with this many domains there are at most 944,784.
+MAX_DOMAINS = 8
+#: Cells in one partition of the rounds.
+CELLS_AT_ONCE = 1 << 16
 TOLERANCE = 1e-3
 #: The largest part of its expected share that a domain to be thinned is to keep.
 THIN = 0.5
@@ -48,29 +55,44 @@ def _bin(value: Column, bounds: tuple) -> Column:
     return out
 
 
-def learn_lexicons(docs: DataFrame, domains: DataFrame, names: list[str], *, text_col: str, id_col: str, size: int = 64, min_docs: int = 4, max_docs_per_domain: int = 1000) -> dict[str, list[str]]:
-    """For each domain the ``size`` words that its documents hold most above the others' rate, twice it at least.
+def learn_lexicons(
+    docs: DataFrame,
+    domains: DataFrame,
+    names: list[str],
+    *,
+    text_col: str,
+    id_col: str,
+    size: int = 64,
+    min_docs: int = 4,
+    max_docs_per_domain: int = 1000,
+) -> dict[str, list[str]]:
+    """For each domain the ``size`` words that its documents hold most above the others' rate, at twice the odds at least.
 
     The lexicon, a part of the classifier, is fitted on a bounded sample: about
     ``max_docs_per_domain`` labelled documents of each domain, chosen by a hash of the id.
     """
     n_of = {r["domain"]: r["count"] for r in domains.groupBy("domain").count().collect()}
-    draw = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20))
-    share = F.coalesce(*[F.when(F.col("domain") == d, F.lit(int(min(1.0, max_docs_per_domain / max(n_of.get(d, 1), 1)) * (1 << 20)))) for d in names])
+    chosen = F.lit(False)
+    for d in names:
+        share = max_docs_per_domain / max(n_of.get(d, 1), 1)
+        chosen = chosen | ((F.col("domain") == d) & drawn(11, F.col("id"), share))
     # At most about max_docs_per_domain ids for each of MAX_DOMAINS domains, so they may be broadcast.
-    drawn = F.broadcast(domains.where(draw < share))
-    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id").select("domain", F.array_distinct(_words(F.col("text"))).alias("words"))
+    sample = F.broadcast(domains.where(chosen))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    held = texts.join(sample, "id").select("domain", F.array_distinct(_words(F.col("text"))).alias("words"))
     held = materialize(held, "mixing-lexicon")
     drawn_of = {r["domain"]: r["count"] for r in held.groupBy("domain").count().collect()}
-    words = held.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(names)])
+    own_counts = [F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(names)]
+    words = held.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*own_counts)
     total = sum(drawn_of.values()) or 1
     everywhere = sum((F.col(f"n_{i}") for i in range(len(names))), F.lit(0))
     out = {}
     for i, d in enumerate(names):
-        own = drawn_of.get(d, 0)
-        expected = everywhere * (own / total)
-        score = (F.col(f"n_{i}") - expected) / F.sqrt(expected + 1)
-        top = words.where((F.col(f"n_{i}") >= min_docs) & (score > 4) & (F.col(f"n_{i}") > 2 * expected)).orderBy(score.desc(), "word").limit(size)
+        n, share = F.col(f"n_{i}"), drawn_of.get(d, 0) / total
+        expected = everywhere * share
+        score = (n - expected) / F.sqrt(expected * (1 - share) + 1)
+        at_odds = n * (1 - share) > 2 * (everywhere - n) * share
+        top = words.where((n >= min_docs) & (score > 4) & at_odds).orderBy(score.desc(), "word").limit(size)
         out[d] = [r["word"] for r in top.select("word").collect()]
     return out
 
@@ -80,47 +102,58 @@ def feature_bins(text: Column, lexicons: dict[str, list[str]]) -> tuple[Column,
     whole = F.coalesce(text, F.lit(""))
     n_chars = F.greatest(F.length(whole), F.lit(1))
     shares = [
-        (_bin(F.regexp_count(whole, F.lit(r"[#*$%&|<>]")) / n_chars, SYMBOL_BINS), len(SYMBOL_BINS) + 1),
-        (_bin(F.regexp_count(whole, F.lit(r"\p{Lu}")) / n_chars, CAPITAL_BINS), len(CAPITAL_BINS) + 1),
+        (F.regexp_count(whole, F.lit(r"[#*$%&|<>]")) / n_chars, SYMBOL_BINS),
+        (F.regexp_count(whole, F.lit(r"\p{Lu}")) / n_chars, CAPITAL_BINS),
     ]
+    sizes = [len(b) + 1 for b in (SYMBOL_BINS, CAPITAL_BINS, REPEAT_BINS, LENGTH_BINS, *[LEXICON_BINS] * len(lexicons))]
 
     def of_words(words: Column) -> Column:
-        parts = [*shares, (_bin(F.size(words), LENGTH_BINS), len(LENGTH_BINS) + 1)]
+        n = F.size(words)
+        again = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))
+        parts = [*shares, (again / F.greatest(n, F.lit(1)), REPEAT_BINS), (n, LENGTH_BINS)]
         for d in sorted(lexicons):
-            known = F.array(*map(F.lit, lexicons[d])) if lexicons[d] else F.array().cast("array<string>")
-            parts.append((_bin(F.size(F.array_intersect(words, known)), LEXICON_BINS), len(LEXICON_BINS) + 1))
+            known = F.from_json(F.lit(json.dumps(lexicons[d])), "array<string>")
+            parts.append((F.size(F.array_intersect(words, known)), LEXICON_BINS))
         cell = F.lit(0)
-        for value, n in parts:
-            cell = cell * n + value
-        return F.struct(F.size(words).cast("long").alias("tokens"), cell.cast("int").alias("cell"))
+        for value, bounds in parts:
+            cell = cell * (len(bounds) + 1) + _bin(value, bounds)
+        return F.struct(n.cast("long").alias("tokens"), cell.cast("int").alias("cell"))
 
-    sizes = [len(SYMBOL_BINS) + 1, len(CAPITAL_BINS) + 1, len(LENGTH_BINS) + 1, *[len(LEXICON_BINS) + 1] * len(lexicons)]
-    return F.element_at(F.transform(F.array(_words(whole)), of_words), 1), sizes
+    return let(_words(whole), of_words), sizes
 
 
-def _bins_of(cell: Column, sizes: list[int]) -> list[Column]:
-    """The bin of each feature, from the number of the cell."""
+def _bins_of(cell: Column, sizes: list[int]) -> Column:
+    """An array of the bin of each feature, from the number of the cell."""
     out, below = [], 1
     for n in reversed(sizes):
         out.append(F.pmod(F.floor(cell / below), F.lit(n)).cast("int"))
         below *= n
-    return out[::-1]
+    return F.array(*out[::-1])
 
 
-def posteriors(counts: DataFrame, names: list[str], sizes: list[int], cell: Column) -> list[Column]:
-    """P(domain | cell) of naive Bayes, from a table of (domain, cell, n) over the labelled rows."""
-    per = counts.select("domain", "n", F.posexplode(F.array(*_bins_of(F.col("cell"), sizes))).alias("feature", "bin")).groupBy("domain", "feature", "bin").agg(F.sum("n").alias("n"))
+def posteriors(counts: DataFrame, names: list[str], sizes: list[int], cell: Column) -> Column:
+    """P(domain | cell) of naive Bayes as an array, from a table of (domain, cell, n) over the labelled rows."""
+    bins = counts.select("domain", "n", F.posexplode(_bins_of(F.col("cell"), sizes)).alias("feature", "bin"))
+    per = bins.groupBy("domain", "feature", "bin").agg(F.sum("n").alias("n"))
     found = {(r["domain"], r["feature"], r["bin"]): r["n"] for r in per.collect()}  # domains * features * bins rows
-    rows = {d: sum(found.get((d, 0, b), 0) for b in range(sizes[0])) for d in names}
-    bins, logs = _bins_of(cell, sizes), []
+    tables = []
     for d in names:
-        log = F.lit(math.log(rows[d] + 1))
-        for f, n in enumerate(sizes):
-            log = log + F.element_at(F.array(*[F.lit(math.log((found.get((d, f, b), 0) + 0.5) / (rows[d] + 0.5 * n))) for b in range(n)]), bins[f] + 1)
-        logs.append(log)
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    total = sum((F.exp(x - top) for x in logs), F.lit(0.0))
-    return [F.exp(x - top) / total for x in logs]
+        rows = sum(found.get((d, 0, b), 0) for b in range(sizes[0]))
+        logs = [[math.log((found.get((d, f, b), 0) + 0.5) / (rows + 0.5 * n)) for b in range(n)] for f, n in enumerate(sizes)]
+        tables.append([[math.log(rows + 1)], *logs])
+    known = F.from_json(F.lit(json.dumps(tables)), "array<array<array<double>>>")
+
+    def softmax(scores: Column) -> Column:
+        powers = let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+        return let(powers, lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x)))
+
+    def of_bins(own: Column) -> Column:
+        # Table 0 of a domain is its prior alone, which stands at place 0.
+        at = F.concat(F.array(F.lit(0)), own)
+        picked = lambda table: F.zip_with(table, at, lambda row, b: F.get(row, b))
+        return let(F.transform(known, lambda t: F.aggregate(picked(t), F.lit(0.0), lambda a, x: a + x)), softmax)
+
+    return let(_bins_of(cell, sizes), of_bins)
 
 
 def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *, keep_domain: str | None = None, max_rate: float = 16.0, rounds: int = 100, patience: int = 20, tolerance: float = TOLERANCE) -> tuple[Column, dict[str, float]]:
@@ -135,8 +168,9 @@ def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *,
     k = range(len(names))
     p = [F.element_at("p", i + 1) for i in k]
     weight = [1 / max(targets[d], 1.0) for d in names]
-    gram = cells.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k]).first()
-    g = [[(gram[f"g{i}_{j}"] or 0.0) * math.sqrt(weight[i] * weight[j]) for j in k] for i in k]
+    kept = cells.select("tokens", "p").cache()  # the bins bound its rows; lost parts are read again
+    gram = kept.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k if i <= j]).collect()[0]
+    g = [[(gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0) * math.sqrt(weight[i] * weight[j]) for j in k] for i in k]
     largest = max((sum(abs(x) for x in line) for line in g), default=0.0)  # bounds the largest eigenvalue
     floor = F.lit(0.0) if keep_domain is None else F.when(p[names.index(keep_domain)] >= 0.5, 1.0).otherwise(0.0)
     steps: list[list[float]] = []  # of each step its slope by domain, and its momentum
@@ -153,11 +187,10 @@ def fit_rates(cells: DataFrame, names: list[str], targets: dict[str, float], *,
 
         return F.aggregate(done, start, take)
 
-    kept = cells.select("tokens", "p").cache()  # the bins bound its rows; lost parts are read again
-
     def totals() -> tuple[list[float], float]:
         s = F.col("s")
-        row = kept.withColumn("s", state()).agg(*[F.sum(F.col("tokens") * p[i] * s["rate"]).alias(f"m{i}") for i in k], F.sum(F.col("tokens") * s["turn"]).alias("turn")).first()
+        sums = [F.sum(F.col("tokens") * p[i] * s["rate"]).alias(f"m{i}") for i in k]
+        row = kept.withColumn("s", state()).agg(*sums, F.sum(F.col("tokens") * s["turn"]).alias("turn")).collect()[0]
         return [row[f"m{i}"] or 0.0 for i in k], row["turn"] or 0.0
 
     goal = [targets[d] for d in names]
@@ -192,66 +225,101 @@ def thinned(goal: dict[str, float], before: dict[str, float], thin: tuple[str, .
 class Mixture:
     """A fitted mixture: rates and posteriors by feature cell, for the documents it was fitted on."""
 
-    def __init__(self, names: list[str], lexicons: dict[str, list[str]], rates: DataFrame, features: DataFrame, before: dict[str, float], goal: dict[str, float], reached: dict[str, float]):
-        self.names, self.lexicons, self.rates, self.features = names, lexicons, rates, features
+    def __init__(self, names: list[str], rates: DataFrame, features: DataFrame, shares: tuple[dict[str, float], ...]):
+        self.names, self.rates, self.features = names, rates, features
         #: Expected tokens of each domain, as parts of ``total``: at rate 1, aimed at, and at the fitted rates.
-        self.before, self.goal, self.reached = before, goal, reached
+        self.before, self.goal, self.reached = shares
 
     def unmet(self) -> list[str]:
         """The domains whose target the fit did not reach, as when the bounds of the rates forbid it."""
         return [d for d in self.names if abs(self.reached[d] - self.goal[d]) > TOLERANCE * max(self.goal[d], TOLERANCE)]
 
 
-def fit_mixture(docs: DataFrame, domains: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, thin: tuple[str, ...] = (), **options) -> Mixture:
+def fit_mixture(
+    docs: DataFrame,
+    domains: DataFrame,
+    targets: dict[str, float],
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    total: float | None = None,
+    thin: tuple[str, ...] = (),
+    whole_rows: bool = False,
+    **options,
+) -> Mixture:
     """Fit posteriors and rates. ``domains`` has (id, domain); ``targets`` the share of each domain.
 
     ``total`` is the number of expected tokens, by default the tokens of ``docs``. The target of a
     domain of ``thin`` is at most ``THIN`` of its expected share in ``docs``; what that frees goes to
     the other domains. A target that is not reached is logged, with what is. Other options are those
-    of ``fit_rates``. Null ids and
-    domains teach nothing; an id labelled twice counts for each label; without labels all
-    posteriors are even. Empty ``docs`` give empty results.
+    of ``fit_rates``.
+
+    The features of each row are computed once and written; with ``whole_rows`` the row itself
+    stands beside them, under a number of its own. Null ids and domains teach nothing; an id
+    labelled twice counts for each label; without labels all posteriors are even. A null text is
+    empty: no tokens, rated like other empty ones. Rows and ids may repeat. Empty ``docs`` give
+    empty results; columns of any name or type may stand beside the id and the text.
     """
     names = sorted(targets)
     if len(names) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     known = domains.select(F.col(id_col).alias("id"), F.col("domain")).where(F.col("id").isNotNull() & F.col("domain").isin(*names)).distinct()
     lexicons = learn_lexicons(docs, known, names, text_col=text_col, id_col=id_col)
-    f, sizes = feature_bins(F.col(text_col), lexicons)
-    features = materialize(docs.select(F.col(id_col).alias("id"), f.alias("f")).select("id", "f.tokens", "f.cell"), "mixing-features")
-    labelled = features.join(known, "id").groupBy("domain", "cell").agg(F.count("*").alias("n"))
+    row = F.col(PREFIX + "row")
+    f, sizes = feature_bins(row[text_col], lexicons)
+    carried = [row, F.monotonically_increasing_id().alias("rid")] if whole_rows else []
+    features = wrap(docs if whole_rows else docs.select(id_col, text_col)).select(row[id_col].alias("id"), f.alias("f"), *carried)
+    features = materialize(features.select("id", "f.tokens", "f.cell", *[PREFIX + "row", "rid"] * whole_rows), "mixing-features")
+    labelled = features.select("id", "cell").join(known, "id").groupBy("domain", "cell").agg(F.count("*").alias("n"))
     sums = features.groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
-    cells = materialize(sums.select("cell", "tokens", "docs", F.array(*posteriors(labelled, names, sizes, F.col("cell"))).alias("p")).coalesce(1), "mixing-cells")
-    held = cells.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.element_at("p", i + 1)) for i in range(len(names))]).first()
+    p = posteriors(labelled, names, sizes, F.col("cell"))
+    cells = sums.select("cell", "tokens", "docs", p.alias("p")).coalesce(math.ceil(math.prod(sizes) / CELLS_AT_ONCE))
+    cells = materialize(cells, "mixing-cells")
+    expected = [F.sum(F.col("tokens") * F.element_at("p", i + 1)) for i in range(len(names))]
+    held = cells.agg(F.sum("tokens"), *expected).collect()[0]
     tokens = total if total is not None else float(held[0] or 0)
     share = lambda by_domain: {d: by_domain[d] / tokens if tokens else 0.0 for d in names}
     before = share({d: held[i + 1] or 0.0 for i, d in enumerate(names)})
     goal = thinned({d: t / sum(targets.values()) for d, t in targets.items()}, before, thin)
     rate, found = fit_rates(cells, names, {d: tokens * t for d, t in goal.items()}, **options)
-    mixture = Mixture(names, lexicons, cells.select("cell", "p", rate.alias("rate"), "tokens", "docs"), features, before, goal, share(found))
+    mixture = Mixture(names, cells.select("cell", "p", rate.alias("rate"), "tokens", "docs"), features, (before, goal, share(found)))
     if tokens and mixture.unmet():
         log.warning("mixing: targets of %s are not reached: before %s, aimed at %s, reached %s", ", ".join(mixture.unmet()), before, goal, mixture.reached)
     return mixture
 
 
 def document_rates(mixture: Mixture, *, id_col: str = "doc_id") -> DataFrame:
-    """One row ``(id, n_tokens, p_<domain>..., rate)`` for each document. The cells are bounded by the bins."""
-    joined = mixture.features.join(F.broadcast(mixture.rates.select("cell", "p", "rate")), "cell")
-    return joined.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(mixture.names)], "rate")
+    """One row ``(id, n_tokens, p_<domain>..., rate)`` for each document of the fit, null ids and repeated rows included.
 
-
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], *, text_col: str = "text", keep_domain: str | None = None, seed: int = 42, **options) -> DataFrame:
+    The cells are bounded by the bins, so their rates may be broadcast.
+    """
+    joined = mixture.features.select("id", "tokens", "cell").join(F.broadcast(mixture.rates.select("cell", "p", "rate")), "cell")
+    by_domain = [F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(mixture.names)]
+    return joined.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *by_domain, "rate")
+
+
+def mix(
+    docs: DataFrame,
+    domains: DataFrame,
+    targets: dict[str, float],
+    *,
+    text_col: str = "text",
+    keep_domain: str | None = None,
+    seed: int = 42,
+    **options,
+) -> DataFrame:
     """``docs`` with each row as often as its rate says, with all columns: the mixture itself.
 
     A rate of r gives floor(r) copies and one more with probability r - floor(r), drawn by a
-    seeded hash of the row. Rows that most likely belong to ``keep_domain`` have rates of one or more.
+    seeded hash of the row's own number, so repeated rows are drawn each for itself. Rows that
+    most likely belong to ``keep_domain`` have rates of one or more. Null ids and texts are rows
+    like others; empty ``docs`` give no rows; columns may have any name and type.
     """
-    mixture = fit_mixture(docs, domains, targets, text_col=text_col, keep_domain=keep_domain, **options)
-    rates = mixture.rates
+    mixture = fit_mixture(docs, domains, targets, text_col=text_col, keep_domain=keep_domain, whole_rows=True, **options)
     row = F.col(PREFIX + "row")
-    f, _ = feature_bins(row[text_col], mixture.lexicons)
-    found = wrap(docs).select(row, f["cell"].alias("cell")).join(F.broadcast(rates.select("cell", "rate")), "cell")
-    u = F.pmod(F.xxhash64(F.lit(seed), row), F.lit(1 << 30)) / float(1 << 30)
+    found = mixture.features.select(row, "rid", "cell").join(F.broadcast(mixture.rates.select("cell", "rate")), "cell")
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("rid")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    repeated = found.select(row, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))).alias("copy"), copies.alias("copies")).where(F.col("copy") <= F.col("copies"))
+    each = F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))).alias("copy")
+    repeated = found.select(row, each, copies.alias("copies")).where(F.col("copy") <= F.col("copies"))
     return repeated.select(*unwrap(docs.columns, []))

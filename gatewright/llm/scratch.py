@@ -14,11 +14,13 @@ PREFIX = "__gw_"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (unit tests on one machine) a temporary folder of this
-    application is used; a cluster has to set it, since executors see no local folders.
+    Where the setting is absent and everything runs on one machine, a temporary folder of this
+    application is used. On a cluster that is an error, since executors see no local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/gatewright-{spark.sparkContext.applicationId}"
     return root.rstrip("/")
 
@@ -40,6 +42,25 @@ def bucket_of(id_col: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+#: Draws are below this number, so that shares of far more rows than there can be do not round to zero.
+DRAWS = 1 << 62
+
+
+def draw_of(seed: int, key: Column) -> Column:
+    """A seeded draw from 0 to ``DRAWS`` for a key."""
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(DRAWS))
+
+
+def draw_below(share: float) -> int:
+    """What draws are below for about ``share`` of all keys; never zero."""
+    return max(1, int(min(1.0, share) * DRAWS))
+
+
+def drawn(seed: int, key: Column, share: float) -> Column:
+    """True for about ``share`` of all keys."""
+    return draw_of(seed, key) < F.lit(draw_below(share))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row, whatever body does with it."""
     return F.element_at(F.transform(F.array(value), body), 1)
