@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import PREFIX, let, materialize, unwrap, wrap
@@ -129,19 +129,27 @@ def calibrate(signals: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.min("label").alias("label"))
     rows = signals.where(~F.col("base_failed")).join(marked, F.col(id_col) == F.col("id"))
+    # A value above j cutoffs of its rule counts for the first j of them. One row a rule, stratum and
+    # number of cutoffs leaves the labelled rows; -1 stands for all rows of the stratum.
+    passed = lambda rule: lambda c: c < F.col(rule)
+    above = [F.size(F.filter(F.array(*map(F.lit, cutoffs)), passed(rule))) for rule, cutoffs in RULES.items()]
+    pairs = [F.struct(F.lit(i).alias("i"), n.alias("above")) for i, n in enumerate(above)]
     good, bad = (F.col("label") == 1).cast("long"), (F.col("label") == 0).cast("long")
-    tests = [(rule, j, c) for rule, cutoffs in RULES.items() for j, c in enumerate(cutoffs)]
-    sums = [F.sum(F.when(F.col(rule) > c, kind).otherwise(F.lit(0))).alias(f"{name}_{rule}_{j}") for rule, j, c in tests for name, kind in (("k", good), ("b", bad))]
-    by_stratum = rows.groupBy(F.col(stratum_col).alias("stratum")).agg(F.sum(good).alias("n"), *sums)
-    by_stratum = materialize(by_stratum, "quality-strata")
-    rate = alpha / len(RULES)
-    one = [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k_{rule}_{j}").alias("k"), F.col(f"b_{rule}_{j}").alias("caught")) for rule, j, c in tests]
-    counted = by_stratum.withColumn("strata", F.lit(max(by_stratum.count(), 1)))
-    tested = counted.select("stratum", "n", "strata", F.explode(F.array(*one)).alias("t")).select("stratum", "n", "strata", "t.*")
+    each = rows.select(F.col(stratum_col).alias("stratum"), good.alias("good"), bad.alias("bad"), F.inline(F.array(*pairs)))
+    held = each.groupBy("stratum", "i", "above").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    at = F.explode(F.sequence(F.lit(-1), F.col("above") - 1)).alias("j")
+    counted = held.select("stratum", "i", "good", "bad", at).groupBy("stratum", "i", "j").agg(F.sum("good").alias("k"), F.sum("bad").alias("caught"))
+    counted = materialize(counted, "quality-strata")
+    strata = max(counted.agg(F.countDistinct("stratum")).collect()[0][0], 1)
+    # A few dozen rows a stratum.
+    n = F.max(F.when(F.col("j") == -1, F.col("k"))).over(Window.partitionBy("stratum", "i"))
+    grid = F.array(*[F.array(*map(F.lit, cutoffs)) for cutoffs in RULES.values()])
+    tested = counted.withColumn("n", n).where("j >= 0").withColumn("cutoff", F.get(F.get(grid, F.col("i")), F.col("j")))
+    rate, n_tests = alpha / len(RULES), sum(len(c) for c in RULES.values())
     # At k of rate * n or more the probability is about a half or more, far above any level.
     p_value = F.when(F.col("k") < F.col("n") * rate, binomial_at_most(F.col("k"), F.col("n"), rate)).otherwise(F.lit(1.0))
-    certified = tested.where((p_value <= F.lit(delta / len(tests)) / F.col("strata")) & (F.col("caught") > 0))
-    best = [F.max(F.when(F.col("rule") == rule, F.struct("caught", "cutoff")))["cutoff"].alias(f"cut_{rule}") for rule in RULES]
+    certified = tested.where((p_value <= delta / n_tests / strata) & (F.col("caught") > 0))
+    best = [F.max(F.when(F.col("i") == i, F.struct("caught", "cutoff")))["cutoff"].alias(f"cut_{rule}") for i, rule in enumerate(RULES)]
     return certified.groupBy("stratum").agg(*best)
 
 
@@ -176,11 +184,15 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return verdicts(signals, materialize(calibrate(signals, labels, **options), "quality-cutoffs"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names."""
-    signals = materialize(signal_table(docs, text_col=text_col, stratum_col=stratum_col), "quality-signals")
-    cutoffs = materialize(calibrate(signals, labels, **options), "quality-cutoffs")
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+
+    The signals are computed once and written beside their rows; calibration reads them without
+    the rows. A null text has no word and goes; a null stratum is ``und``; a null id has no label
+    but is judged; repeated rows are judged each; an empty table gives no rows.
+    """
     row = F.col(PREFIX + "row")
     wrapped = wrap(docs).select(row, F.coalesce(row[stratum_col].cast("string"), F.lit("und")).alias("stratum"), let(row[text_col], text_signals).alias("s"))
-    judged = verdicts(wrapped.select(PREFIX + "row", "stratum", *flat_signals(F.col("s"))), cutoffs)
-    return judged.where("kept").select(*unwrap(docs.columns, []))
+    signals = materialize(wrapped.select(row[id_col].alias("doc_id"), "stratum", *flat_signals(F.col("s")), row), "quality-rows")
+    cutoffs = materialize(calibrate(signals.drop(PREFIX + "row"), labels, **options), "quality-cutoffs")
+    return verdicts(signals, cutoffs).where("kept").select(*unwrap(docs.columns, []))
