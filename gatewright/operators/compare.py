@@ -18,12 +18,17 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """For each group the value at place floor(n * share) (from 0) of the sorted values, the largest and the mean.
 
-    Ranks come from a window, so no group is gathered in one row.
+    Values are counted first, so the running sum that gives the ranks passes over distinct values
+    only, and rows never meet by group. Null values are left out.
     """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_at": F.row_number().over(group.orderBy(value)) - 1, "_n": F.count("*").over(group)})
-    picks = [F.max(F.when(F.col("_at") == F.floor(F.col("_n") * F.lit(s)), F.col(value))).alias(name) for name, s in shares.items()]
-    return ranked.groupBy(*by).agg(*picks, F.max(value).alias("largest"), F.avg(value).alias("mean"))
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy(value)), "_all": F.sum("_n").over(group)})
+    place = lambda s: F.floor(F.col("_all") * F.lit(s))
+    holds = lambda s: (F.col("_upto") - F.col("_n") <= place(s)) & (place(s) < F.col("_upto"))
+    picks = [F.max(F.when(holds(s), F.col(value))).alias(name) for name, s in shares.items()]
+    mean = F.sum(F.col(value).cast("double") * F.col("_n")) / F.sum("_n")
+    return ranked.groupBy(*by).agg(*picks, F.max(value).alias("largest"), mean.alias("mean"))
 
 
 def median_of(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:

@@ -47,26 +47,42 @@ def _lineage(anchor: str) -> tuple[Column, Column]:
 
 
 def violations(tables: Tables, rules: Iterable[Rule], run_date: str, snapshots: bool = True, details: bool = True) -> DataFrame:
-    """Every failing row of every rule: one scan and one explode for each anchor table."""
+    """Every failing row of every rule: one scan and one explode for each anchor table.
+
+    Each predicate is evaluated once a row. The explode is an outer one, so that no filter on
+    what it explodes is put below it, where it would evaluate them all again; snapshots are made
+    of the rows that are left.
+    """
     rules = list(rules)
     parts = []
     for anchor in dict.fromkeys(r.anchor for r in rules):
         own = [r for r in rules if r.anchor == anchor]
         df, fields = enriched(tables, anchor, own, run_date), Fields()
-        found = [
-            F.when(r.predicate(fields), F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.category).alias("rule_category"), F.lit(r.level).alias("level"), F.lit(r.column).cast("string").alias("column_name"), (r.detail(fields) if details else F.lit(None).cast("string")).alias("detail")))
-            for r in own
-        ]
+        found = F.array(*[F.when(r.predicate(fields), _violation(r, fields, details)) for r in own])
+        each = F.explode_outer(F.filter(found, lambda x: x.isNotNull())).alias("_v")
+        hits = df.select("*", each).where(F.col("_v").isNotNull())
         source_file, source_row = _lineage(anchor)
-        kept = [source_file.alias("source_file"), source_row.alias("source_row"), *([snapshot_of(df).alias("snapshot")] if snapshots else []), *([F.col("schema").alias("schema")] if "schema" in df.columns else [F.lit(None).cast("string").alias("schema")])]
-        hits = df.select(*kept, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("_found")).where(F.size("_found") > 0)
-        parts.append(hits.select("*", F.inline("_found")).drop("_found"))
+        schema = F.col("schema") if "schema" in df.columns else F.lit(None).cast("string")
+        kept = [source_file.alias("source_file"), source_row.alias("source_row"), schema.alias("schema")]
+        if snapshots:
+            kept.insert(2, snapshot_of(df).alias("snapshot"))
+        parts.append(hits.select(*kept, "_v.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _violation(rule: Rule, fields: Fields, details: bool) -> Column:
+    return F.struct(
+        F.lit(rule.name).alias("rule_name"),
+        F.lit(rule.category).alias("rule_category"),
+        F.lit(rule.level).alias("level"),
+        F.lit(rule.column).cast("string").alias("column_name"),
+        (rule.detail(fields) if details else F.lit(None).cast("string")).alias("detail"),
+    )
+
+
 def quarantine(tables: Tables, rules: Iterable[Rule], run_id: str, run_date: str) -> DataFrame:
     """The canonical quarantine table of one run. Its ids are hashes of what they name."""
     v = violations(tables, rules, run_date)

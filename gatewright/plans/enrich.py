@@ -51,7 +51,10 @@ def enrich_pricing(df: DataFrame, tables: Tables, needs: set[str], run_date: str
 
 def enrich_security_master(df: DataFrame, tables: Tables, needs: set[str], run_date: str) -> DataFrame:
     if "_cusip_count" in needs:
-        df = df.withColumn("_cusip_count", F.when(F.col("cusip").isNotNull(), F.count("*").over(Window.partitionBy("cusip"))))
+        # Rows without a cusip are each a group of their own, so that they do not meet in one task.
+        alone = F.when(F.col("cusip").isNull(), F.struct("source_file", "source_row", "instrument_id"))
+        same = Window.partitionBy("cusip", alone)
+        df = df.withColumn("_cusip_count", F.when(F.col("cusip").isNotNull(), F.count("*").over(same)))
     if "_has_any_price" in needs:
         df = _flagged(df, tables["pricing"], {"instrument_id": "instrument_id"}, "_has_any_price")
     if "_benchmark_resolves" in needs:
@@ -83,20 +86,40 @@ def enrich_funds(df: DataFrame, tables: Tables, needs: set[str], run_date: str)
     return joined.withColumn("_true_total", F.coalesce("_sum", F.lit(0).cast("decimal(18,2)"))).drop("_f", "_d", "_sum")
 
 
-def enrich_vendor_record(df: DataFrame, tables: Tables, needs: set[str], run_date: str) -> DataFrame:
+def _with_key_figures(df: DataFrame, wanted: set[str]) -> DataFrame:
+    """Figures of a record's key over its vendors, and how often its vendor delivers it.
+
+    Records are counted by vendor and key before they are shuffled, the vendors of a key meet in a
+    window of as many rows as there are vendors, and one join brings the figures back. So records
+    whose key is blank, however many, are never one task's: a join's large partition is split.
+    """
+    key = ("schema_name", "instrument_id", "as_of_date")
     value = F.col("value1").try_cast("double")
-    if needs & {"_first_vendor", "_last_vendor", "_value_max", "_value_min"}:
-        same = Window.partitionBy("schema_name", "instrument_id", "as_of_date")
-        df = df.withColumns({"_first_vendor": F.min("vendor").over(same), "_last_vendor": F.max("vendor").over(same), "_value_max": F.max(value).over(same), "_value_min": F.min(value).over(same)})
-    if "_row_key_count" in needs:
-        df = df.withColumn("_row_key_count", F.count("*").over(Window.partitionBy("vendor", "schema_name", "instrument_id", "as_of_date")))
+    figures = {
+        "_first_vendor": F.min("vendor"),
+        "_last_vendor": F.max("vendor"),
+        "_value_max": F.max("_most"),
+        "_value_min": F.min("_least"),
+    }
+    each = df.groupBy("vendor", *key).agg(F.count("*").alias("_row_key_count"), F.max(value).alias("_most"), F.min(value).alias("_least"))
+    same = Window.partitionBy(*key)
+    each = each.withColumns({name: f.over(same) for name, f in figures.items() if name in wanted})
+    each = each.select(*[F.col(c).alias(f"_k_{c}") for c in ("vendor", *key)], *sorted(wanted))
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in ("vendor", *key)]
+    return df.join(each, on, "left").drop(*[f"_k_{c}" for c in ("vendor", *key)])
+
+
+def enrich_vendor_record(df: DataFrame, tables: Tables, needs: set[str], run_date: str) -> DataFrame:
+    by_key = needs & {"_first_vendor", "_last_vendor", "_value_max", "_value_min", "_row_key_count"}
+    if by_key:
+        df = _with_key_figures(df, by_key)
     if "_instrument_known" in needs:
         df = _flagged(df, tables["instrument_master"], {"instrument_id": "instrument_id"}, "_instrument_known")
     if needs & {"_allow_negative_value1", "_value1_upper_bound"}:
         bounds = tables["schema_bounds"].select(F.col("schema_name").alias("_s"), F.col("allow_negative_value1").alias("_allow_negative_value1"), F.col("value1_upper_bound").alias("_value1_upper_bound"))
         df = df.join(bounds, F.col("schema_name") == F.col("_s"), "left").drop("_s")
     if needs & {"_file_rows", "_median_rows"}:
-        files = df.groupBy(F.col("source_file").alias("_file"), F.col("schema_name").alias("_s")).agg(F.count("*").alias("_file_rows"))
+        files = tables["vendor_record"].groupBy(F.col("source_file").alias("_file"), F.col("schema_name").alias("_s")).agg(F.count("*").alias("_file_rows"))
         medians = files.where(F.col("_file_rows") >= BASELINE_ROWS).groupBy(F.col("_s").alias("_ms")).agg(F.expr("percentile(_file_rows, 0.5)").alias("_median_rows"))
         sized = files.join(medians, F.col("_s") == F.col("_ms"), "left").drop("_ms")
         df = df.join(sized, (F.col("source_file") == F.col("_file")) & (F.col("schema_name") == F.col("_s")), "left").drop("_file", "_s")
