@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import VINTAGE
+from ..sources.staging import stored
+
+#: How long a cached payload counts: a fixed value.
+TTL_SECONDS = 30.0
 
 
 def restate(vintages: DataFrame, new: DataFrame) -> DataFrame:
@@ -46,36 +54,47 @@ def restated_price(current: DataFrame, instrument_id: str, price_date: str, pric
 
 
 class LatestCache:
-    """A read-through table of latest payloads: filled on a miss, stale until it is invalidated.
+    """A read-through cache of latest payloads: filled on a miss, stale until invalidated or timed out.
 
-    The cached keys are a Parquet table that is replaced as a whole, so it is of any size.
+    Its state is an append-only log in a folder, so any process that opens the folder sees it, and
+    it is of any size. A miss appends the payload that was read, an invalidation a mark; a read that
+    finds all its keys writes nothing. The last entry of a key counts, for ``ttl_seconds``.
     """
 
-    def __init__(self, path: str):
-        self.path, self._version = path, 0
+    _LOG = T.StructType([*VINTAGE.fields, T.StructField("logged_at", T.LongType()), T.StructField("live", T.BooleanType())])
+
+    def __init__(self, path: str, ttl_seconds: float = TTL_SECONDS, clock: Callable[[], int] = time.time_ns):
+        self.path, self.ttl, self.clock = path, int(ttl_seconds * 1e9), clock
 
-    def _current(self, spark) -> DataFrame:
-        if not self._version:
-            return spark.createDataFrame([], VINTAGE)
-        return spark.read.schema(VINTAGE).parquet(f"{self.path}/v{self._version}")
+    def _entries(self, spark: SparkSession) -> DataFrame:
+        """The live entry of each key."""
+        log = stored(spark, self.path)
+        if log is None:
+            return spark.createDataFrame([], self._LOG)
+        log = spark.read.schema(self._LOG).parquet(self.path)
+        last = log.groupBy("key").agg(F.max_by(F.struct(*self._LOG.fieldNames()), F.struct("logged_at", ~F.col("live"))).alias("e")).select("e.*")
+        return last.where(F.col("live") & (F.col("logged_at") > self.clock() - self.ttl))
 
-    def _replace(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{self._version + 1}")
-        self._version += 1
+    def _append(self, rows: DataFrame, live: bool) -> None:
+        whole = rows.withColumns({"logged_at": F.lit(self.clock()), "live": F.lit(live)})
+        whole.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._LOG.fields]).write.mode("append").parquet(self.path)
 
     def read(self, vintages: DataFrame, keys: DataFrame) -> DataFrame:
         """The payloads of the asked keys: cached ones as they were cached, others from the store."""
-        spark = vintages.sparkSession
-        cached = self._current(spark)
-        missing = keys.select("key").distinct().join(cached, "key", "left_anti")
-        self._replace(cached.unionByName(latest(vintages.join(missing, "key", "left_semi")).select(*VINTAGE.fieldNames())))
-        return self._current(spark).join(keys.select("key").distinct(), "key", "left_semi")
+        spark, asked = vintages.sparkSession, keys.select("key").distinct()
+        missing = asked.join(self._entries(spark), "key", "left_anti")
+        found = latest(vintages.join(missing, "key", "left_semi")).select(*VINTAGE.fieldNames())
+        if not found.isEmpty():
+            self._append(found, True)
+        return self._entries(spark).join(asked, "key", "left_semi").select(*VINTAGE.fieldNames())
 
     def invalidate(self, keys: DataFrame) -> None:
-        self._replace(self._current(keys.sparkSession).join(keys.select("key").distinct(), "key", "left_anti"))
+        """Drop the keys, cached or not: dropping twice is as good as once."""
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in VINTAGE.fields if f.name != "key"]
+        self._append(keys.select("key").distinct().select("key", *none), False)
 
-    def is_cached(self, spark, key: str) -> bool:
-        return bool(self._current(spark).where(F.col("key") == key).head(1))
+    def is_cached(self, spark: SparkSession, key: str) -> bool:
+        return not self._entries(spark).where(F.col("key") == key).isEmpty()
 
 
 def latest_of(vintages: DataFrame, kind: str, *parts: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators.quarantine import violations
 from ..schemas import OWNERS, daily_schema_table, daily_schemas
 from ..sources.files import daily_manifest, read_daily_files, typed_daily_records
 from ..sources.sinks import append_json_vintage
+from ..sources.staging import stored
 from .dag import Graph, Task
 from .rules import DAILY_DATE, DAILY_RULES
 
@@ -23,20 +24,24 @@ GROUPS = 10
 
 class DailyFlow:
     """The tasks of one run. ``strict_reference`` builds the manifest from the records, so that
-    empty files and schemas without files go unseen; otherwise it comes from the file listing."""
+    empty files and schemas without files go unseen; otherwise it comes from the file listing.
 
-    def __init__(self, spark: SparkSession, vendor_dir: str, run_dir: str, vintage_dir: str, strict_reference: bool = False):
+    ``run_dir`` holds the driver's own marks, small JSON files on its disk. ``data_dir`` holds the
+    tables, in any store that Spark reads; by default it lies in ``run_dir``."""
+
+    def __init__(self, spark: SparkSession, vendor_dir: str, run_dir: str, vintage_dir: str, strict_reference: bool = False, data_dir: str | None = None):
         self.spark, self.vendor_dir, self.run_dir, self.vintage_dir, self.strict = spark, vendor_dir, run_dir, vintage_dir, strict_reference
+        self.data_dir = data_dir or f"{run_dir.rstrip('/')}/data"
         self._tables: dict[str, DataFrame] | None = None
         self._counts: dict[str, tuple[int, int]] | None = None
 
     def _path(self, name: str) -> str:
-        return os.path.join(self.run_dir, "data", name)
+        return f"{self.data_dir}/{name}"
 
     def _landed(self) -> dict[str, tuple[int, int]]:
         """Records and files of each schema, from the one scan that all extracts share."""
         if self._counts is None:
-            if not os.path.exists(self._path("manifest/_SUCCESS")):
+            if stored(self.spark, self._path("manifest")) is None:  # written last
                 landed = read_daily_files(self.spark, self.vendor_dir)
                 landed.write.mode("overwrite").parquet(self._path("landed"))
                 daily_manifest(self.spark, self.vendor_dir, self.spark.read.parquet(self._path("landed"))).write.mode("overwrite").parquet(self._path("manifest"))

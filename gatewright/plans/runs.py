@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..operators import quarantine as q
 from ..schemas import feed_schema_table
 from ..sources import files, sinks
+from ..sources.staging import stored
+from .daily_flow import DailyFlow
 from .rules import FEED_RULES, GATE_RULES
 
 
@@ -39,6 +42,25 @@ def ingest_feeds(spark: SparkSession, csv_dir: str, vintage_dir: str, *, deliver
     return files.read_vintages(spark, vintage_dir).where(f"delivery_id = '{delivery_id}'").count()
 
 
+def seed_vintages(spark: SparkSession, corpus_dir: str, vintage_dir: str, *, recorded_at: str) -> int:
+    """Load a corpus' masters, prices and positions as the first vintages of a store that is empty; the number stored.
+
+    A store that holds vintages is left as it is, so starting again seeds nothing twice.
+    """
+    if stored(spark, vintage_dir) is None:
+        loaded = files.load_vintages(files.read_gate_corpus(spark, corpus_dir), F.to_timestamp(F.lit(recorded_at)))
+        loaded.write.parquet(vintage_dir)
+    return spark.read.parquet(vintage_dir).count()
+
+
+def daily_run(spark: SparkSession, vendor_dir: str, run_dir: str, vintage_dir: str, *, data_dir: str | None = None) -> dict:
+    """The 55 tasks of a day, from where an earlier try of the same ``run_dir`` ended; its figures."""
+    graph = DailyFlow(spark, vendor_dir, run_dir, vintage_dir, data_dir=data_dir).graph()
+    outcome = graph.run()
+    figures = {"executed": len(outcome.executed), "skipped": len(outcome.skipped)}
+    return figures | graph.output("reconcile_checksum") | {"violations": graph.output("lineage_index")["total"]}
+
+
 def check_feeds(vintages: DataFrame, instrument_master: DataFrame, run_date: str, *, latest_only: bool = False) -> DataFrame:
     """Violations of the 14 checks over stored vintages: all of them, or each file's last delivery."""
     spark = vintages.sparkSession

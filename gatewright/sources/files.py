@@ -140,12 +140,13 @@ def typed_daily_records(landed: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def read_vintages(spark: SparkSession, path: str) -> DataFrame:
     """All vintages of feed records, restated ones with the ones they restate."""
-    return spark.read.schema(T.StructType([*VENDOR_RECORD.fields, T.StructField("delivery_id", T.StringType())])).parquet(path)
+    own = [T.StructField("delivery_id", T.StringType()), T.StructField("delivered_at", T.TimestampType())]
+    return spark.read.schema(T.StructType([*VENDOR_RECORD.fields, *own])).parquet(path)
 
 
 def latest_vintages(vintages: DataFrame) -> DataFrame:
-    """Of each source file the records of its last delivery only."""
-    last = vintages.groupBy("source_file").agg(F.max("delivery_id").alias("delivery_id"))
+    """Of each source file the records of its last delivery only: the one that came last, of equal times that with the larger id."""
+    last = vintages.groupBy("source_file").agg(F.max(F.struct("delivered_at", "delivery_id"))["delivery_id"].alias("delivery_id"))
     return vintages.join(last, ["source_file", "delivery_id"], "left_semi")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quarantine import counts_by_rule
@@ -21,18 +21,26 @@ def write_quarantine_csv(quarantined: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def append_vintage(records: DataFrame, path: str, delivery_id: str) -> None:
-    """Append a delivery of feed records. Earlier deliveries are never changed.
+def append_vintage(records: DataFrame, path: str, delivery_id: str, delivered_at: Column | None = None) -> None:
+    """Append a delivery of feed records, with the time that it came (now, by default).
 
-    A delivery is a column, not a file for each vendor file, so the table keeps files of a good size.
+    Other deliveries are never changed; writing the same one again replaces it, so a retry adds
+    nothing. A delivery is a folder, not a file for each vendor file, so the table keeps files of
+    a good size.
     """
-    records.withColumn("delivery_id", F.lit(delivery_id)).write.mode("append").partitionBy("schema_name").parquet(path)
+    own = {"delivery_id": F.lit(delivery_id), "delivered_at": F.current_timestamp() if delivered_at is None else delivered_at}
+    _put_parts(records.withColumns(own), "delivery_id", "schema_name").parquet(path)
+
+
+def _put_parts(rows: DataFrame, *by: str):
+    """A writer that replaces the parts (folders) that the rows are in, and no other."""
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
 
 
 def append_json_vintage(payload: DataFrame, path: str, schema: str, as_of_date: str, delivery_id: str) -> None:
-    """Append one JSON delivery; payload is a map column of one or more rows."""
-    rows = payload.select(F.lit(delivery_id).alias("delivery_id"), "payload", F.lit(schema).alias("schema"), F.lit(as_of_date).alias("as_of_date"))
-    rows.write.mode("append").partitionBy("schema", "as_of_date").json(path)
+    """Append one JSON delivery; payload is a map column of one or more rows. The same one again replaces it."""
+    rows = payload.select("payload", F.lit(schema).alias("schema"), F.lit(as_of_date).alias("as_of_date"), F.lit(delivery_id).alias("delivery_id"))
+    _put_parts(rows, "schema", "as_of_date", "delivery_id").json(path)
 
 
 def report(found: DataFrame) -> str:
