@@ -49,9 +49,26 @@ def score(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return joined.groupBy("defect_id", "rule_name").agg(F.bool_and(F.coalesce("_hit", F.lit(False))).alias("caught"))
 
 
-def false_positives(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct found rows that no anchor of the manifest names for that rule."""
+def companions(rows: DataFrame, back: int = 1) -> DataFrame:
+    """(rule_name, source_file, source_row) of the rows ``back`` places before the given ones in their files."""
+    return rows.select("rule_name", "source_file", (F.col("source_row") - back).alias("source_row"))
+
+
+def with_companion(records: DataFrame, columns: list[str], back: int = 1) -> DataFrame:
+    """Records with ``companion_<column>`` of the row ``back`` places before in the same file; null where there is none."""
+    before = records.select(F.col("source_file").alias("_f"), (F.col("source_row") + back).alias("_r"), *[F.col(c).alias(f"companion_{c}") for c in columns])
+    return records.join(before, (F.col("source_file") == F.col("_f")) & (F.col("source_row") == F.col("_r")), "left").drop("_f", "_r")
+
+
+def false_positives(manifest: DataFrame, found: DataFrame, companions_of: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct found rows that no anchor of the manifest names for that rule.
+
+    For rules in ``companions_of`` the row before an anchor is named too: of two equal rows
+    neither can be told to be the copy.
+    """
     named = manifest.select("rule_name", F.explode("anchors").alias("a")).select("rule_name", "a.source_file", "a.source_row")
+    if companions_of:
+        named = named.unionByName(companions(named.where(F.col("rule_name").isin(*companions_of))))
     return found.select("rule_name", "source_file", "source_row").distinct().join(named, ["rule_name", "source_file", "source_row"], "left_anti")
 
 

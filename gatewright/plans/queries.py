@@ -12,7 +12,7 @@ from ..operators import audit, bitemporal, compare, pnl
 from ..operators import quarantine as q
 from ..sources.domain import domain_table
 from ..sources.files import load_vintages
-from . import sql_text
+from . import io_queries, sql_text
 from .rules import DAILY_DATE, DAILY_RULES, FEED_RULES, GATE_RULES, Rule
 from .sql_text import RUN_DATE, for_duckdb
 
@@ -168,7 +168,7 @@ def queries() -> dict[str, Query]:
         found[f"{name}_replay"] = _replayed(rules)
     for f in (bitemporal_as_of, bitemporal_latest, vintage_counts, key_count, loaded_vintages, pnl_tie_out, pnl_tie_out_dense, latency_percentiles, file_row_medians, file_manifest, lineage_totals, unpriced_positions, scalar_functions, business_calendar):
         found[f.__name__] = f
-    return found
+    return found | io_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -187,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT concat('POS|', fund_id, '|', instrument_id, '|', cast(position_date as varchar)) AS key, source_row AS seq, 1 AS recorded_at, instrument_id, cast(market_value as varchar) AS held FROM positions",
         ]
     )
-    return found | {
+    return found | io_queries.oracle_sql() | {
         "bitemporal_as_of": _latest_sql(_VINTAGE_SQL, "recorded_at <= timestamp '2024-01-15 00:00:00'"),
         "bitemporal_latest": _latest_sql(_VINTAGE_SQL),
         "vintage_counts": f"SELECT key, count(*) AS vintages FROM ({_VINTAGE_SQL}) v GROUP BY key",

@@ -55,6 +55,16 @@ def invalidator(cache: LatestCache, latencies: str | None = None) -> Callable[[D
     return handle
 
 
+def against_polling(latencies: DataFrame, interval_ms: int = 200, phase_ms: int = 0) -> DataFrame:
+    """One row: how late the recorded deliveries were on average, and how late polls would have been.
+
+    ``latencies`` has (changed_at, latency_ms). A poll runs every ``interval_ms``, at ``phase_ms``
+    and so on, and sees a change at the first poll that is not before it.
+    """
+    wait = F.pmod(F.lit(phase_ms) - F.col("changed_at"), F.lit(interval_ms))
+    return latencies.agg(F.count("*").alias("samples"), F.avg("latency_ms").alias("push_ms"), F.avg(wait).alias("poll_ms"))
+
+
 def windowed_changes(feed: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Changes by event-time window, with late events beyond the watermark left out."""
     timed = feed.withColumn("at", F.timestamp_millis("changed_at")).withWatermark("at", late)
