@@ -18,8 +18,8 @@ from ..schemas import FEED_COLUMNS, daily_schemas, feed_schemas
 CLASS_COUNTS = {"Equity": 220, "Bond": 150, "ETF": 60, "Option": 30, "Cash": 20}
 CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CAD")
 FX_BASE = {"EUR": 1.08, "GBP": 1.27, "JPY": 0.0068, "CAD": 0.74}
-SECTORS = ("Technology", "Healthcare", "Financials", "Energy", "Consumer", "Industrials", "Utilities", "Materials")
-BENCHMARKS = ("BM-SP500", "BM-MSCI-EAFE", "BM-RUSSELL2000", "BM-NASDAQ100")
+SECTORS = ("Software", "Medicine", "Banking", "Power", "Retail", "Machinery", "Water", "Mining")
+BENCHMARKS = ("BM-LARGE", "BM-SMALL", "BM-ATLANTIC", "BM-PACIFIC")
 COUNTRIES = ("US", "GB", "DE", "JP", "CA")
 FUNDS = ("F01", "F02", "F03", "F04", "F05")
 N_INSTRUMENTS = sum(CLASS_COUNTS.values())
