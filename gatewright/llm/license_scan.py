@@ -1,10 +1,10 @@
 """License scan as an exact set-similarity join, in DataFrame functions only.
 
-Templates are short license notices. A text block is a line, or overlapping windows of a long
-line, or one of the overlapping windows over the words of the whole text, which find notices
-wrapped over lines. In these the words from the first to the last of a line's hit are left out:
-they belong to its notice and are no part of another. The join finds every (block, template) whose shared distinct tokens are at least
-``threshold`` of the template's tokens:
+Templates are license notices or whole license texts. A text block is a line, or overlapping
+windows of a long line, or one of the overlapping windows over the words of the whole text, which
+find notices wrapped over lines. In these the words from the first to the last of a line's hit are
+left out: they belong to its notice and are no part of another. The join finds every (block,
+template) whose shared distinct tokens are at least ``threshold`` of the template's tokens:
 
 * tokens are ordered globally, rarest first, by the number of all texts that hold them;
 * prefix filter: a template of m tokens with required overlap o is met only by a block that
@@ -120,54 +120,88 @@ def _hits(words: Column, first_word: Column, order: list[str], templates: list[t
     return F.transform(located, lambda h: F.struct(h["label"].alias("label"), h["containment"].alias("containment"), (first_word + F.array_min(marks)).cast("long").alias("first_word"), (first_word + F.array_max(marks)).cast("long").alias("last_word")))
 
 
-def license_hits(docs: DataFrame, *, text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.8, block_words: int = BLOCK_WORDS, order: list[str] | None = None) -> Column:
+_HITS = "array<struct<label:string,containment:double,first_word:bigint,last_word:bigint>>"
+
+
+def _by_block(templates: list[tuple[str, list[str]]], least: int) -> dict[int, list[tuple[str, list[str]]]]:
+    """The templates by the words of the blocks that they are sought in: twice their own at least, in powers of two times ``least``."""
+    out: dict[int, list[tuple[str, list[str]]]] = {}
+    for label, tokens in templates:
+        words = least
+        while words < 2 * len(tokens):
+            words *= 2
+        out.setdefault(words, []).append((label, tokens))
+    return dict(sorted(out.items()))
+
+
+def license_hits(
+    docs: DataFrame,
+    *,
+    text_col: str = "text",
+    templates: dict[str, tuple[str, ...]] | None = None,
+    threshold: float = 0.8,
+    block_words: int = BLOCK_WORDS,
+    order: list[str] | None = None,
+) -> Column:
     """The hits of each text: an array of (label, containment, first_word, last_word), words from 0.
 
     A null or empty text has none. The order comes from all of ``docs`` unless it is given.
+    Templates may be whole licence texts: those of more than half of ``block_words`` words are
+    sought in blocks of twice, four times ... as many.
     """
     chosen = [(label, tokens_of(t)) for label, texts in (templates or TEMPLATES).items() for t in texts]
     vocabulary = sorted({t for _, tokens in chosen for t in tokens})
     if sum(len(set(t)) for _, t in chosen) > MAX_TEMPLATE_TOKENS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_TOKENS} tokens")
-    if any(len(tokens) > block_words // 2 for _, tokens in chosen):
-        raise ValueError("a template is longer than half a block")
     order = order or token_order(docs, vocabulary, text_col=text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.concat(*[_found(text, own, order, threshold, words) for words, own in _by_block(chosen, block_words).items()])
+
+
+def _found(text: Column, chosen: list[tuple[str, list[str]]], order: list[str], threshold: float, block_words: int) -> Column:
+    """The hits of these templates in the blocks of lines, then in those of the whole text."""
+    own_tokens = {t for _, tokens in chosen for t in tokens}
+    order = [t for t in order if t in own_tokens]
     rank = {t: i for i, t in enumerate(order)}
     prefix: set[str] = set()
     for _, tokens in chosen:
         own = sorted(set(tokens), key=rank.__getitem__)
         prefix |= set(own[: len(own) - max(1, math.ceil(threshold * len(own) - 1e-9)) + 1])
     gate = _any_of(sorted(prefix))
-    text = F.coalesce(F.col(text_col), F.lit(""))
     step = block_words // 2
 
     def of_line(line: Column) -> Column:
         """line: (first word of the line, its words)."""
         heads = F.sequence(F.lit(0), F.greatest(F.size(line["words"]) - step - 1, F.lit(0)), F.lit(step))
-        return F.flatten(F.transform(heads, lambda h: _hits(F.slice(line["words"], h + 1, block_words), line["at"] + h, order, chosen, threshold)))
+        block = lambda h: F.slice(line["words"], h + 1, block_words)
+        return F.flatten(F.transform(heads, lambda h: _hits(block(h), line["at"] + h, order, chosen, threshold)))
 
     def of_text(lines: Column) -> Column:
         """lines: (passes the gate, words) of each line; the first word of each is a running count."""
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<label:string,containment:double,first_word:bigint,last_word:bigint>>").alias("hits"), F.array().cast("array<int>").alias("near"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<int>").alias("near"))
         window = lambda word: F.floor(word / step).cast("int")
         near = lambda acc, x: F.sequence(F.greatest(window(acc["at"]) - 1, F.lit(0)), window(acc["at"] + F.size(x["words"])))
+        hits = lambda acc, x: of_line(F.struct(acc["at"].alias("at"), _folded(x["words"]).alias("words")))
         step_on = lambda acc, x: F.struct(
             (acc["at"] + F.size(x["words"])).alias("at"),
-            F.when(x["open"], F.concat(acc["hits"], of_line(F.struct(acc["at"].alias("at"), _folded(x["words"]).alias("words"))))).otherwise(acc["hits"]).alias("hits"),
+            F.when(x["open"], F.concat(acc["hits"], hits(acc, x))).otherwise(acc["hits"]).alias("hits"),
             F.when(x["open"], F.array_union(acc["near"], near(acc, x))).otherwise(acc["near"]).alias("near"),
         )
-        return let(F.aggregate(lines, start, step_on), lambda acc: F.when(F.size(lines) > 1, F.concat(acc["hits"], across(lines, acc))).otherwise(acc["hits"]))
+        with_windows = lambda acc: F.when(F.size(lines) > 1, F.concat(acc["hits"], across(lines, acc))).otherwise(acc["hits"])
+        return let(F.aggregate(lines, start, step_on), with_windows)
 
     def across(lines: Column, acc: Column) -> Column:
         """Hits of the windows of the whole text that touch a line which passes the gate, without the words of the lines' hits."""
         last = F.floor(F.greatest(acc["at"] - step - 1, F.lit(0)) / step)
-        free = lambda words, at: F.transform(words, lambda w, i: F.when(F.exists(acc["hits"], lambda y: (y["first_word"] <= at + i) & (at + i <= y["last_word"])), "").otherwise(w))
-        of_windows = lambda words: F.flatten(F.transform(F.filter(acc["near"], lambda h: h <= last), lambda h: _hits(_folded(free(F.slice(words, h * step + 1, block_words), h * step)), h * step, order, chosen, threshold)))
+        taken = lambda place: F.exists(acc["hits"], lambda y: (y["first_word"] <= place) & (place <= y["last_word"]))
+        free = lambda words, at: F.transform(words, lambda w, i: F.when(taken(at + i), "").otherwise(w))
+        block = lambda words, h: _folded(free(F.slice(words, h * step + 1, block_words), h * step))
+        heads = F.filter(acc["near"], lambda h: h <= last)
+        of_windows = lambda words: F.flatten(F.transform(heads, lambda h: _hits(block(words, h), h * step, order, chosen, threshold)))
         return let(F.flatten(lines["words"]), of_windows)
 
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.rlike(gate).alias("open"), words_of(x).alias("words")))
-    none = F.array().cast("array<struct<label:string,containment:double,first_word:bigint,last_word:bigint>>")
-    return F.when(text.rlike(gate), let(lines, of_text)).otherwise(none)
+    return F.when(text.rlike(gate), let(lines, of_text)).otherwise(F.array().cast(_HITS))
 
 
 def phrase_places(text: Column) -> Column:

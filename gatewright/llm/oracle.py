@@ -20,23 +20,35 @@ def _plain_words(column: str) -> str:
 
 
 def op2_sql(threshold: float = 0.8, block: int = license_scan.BLOCK_WORDS) -> str:
-    templates = []
+    """Blocks of lines (``b``), then windows over the texts' words (``v``) without the words of the lines' hits."""
+    templates, vocabulary = [], set()
     for label, texts in license_scan.TEMPLATES.items():
         for t in texts:
             tokens = sorted(set(license_scan.tokens_of(t)))
+            vocabulary |= set(tokens)
             templates.append(f"({_text(label)}, [{', '.join(map(_text, tokens))}], {math.ceil(threshold * len(tokens) - 1e-9)})")
     phrases = [f"({_text(label)}, {_text(' '.join(p))}, {len(p)})" for label, p in license_scan.PHRASES.items()]
-    step = block // 2
+    step, known = block // 2, f"[{', '.join(map(_text, sorted(vocabulary)))}]"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_plain_words("text")} AS w FROM documents),
 p(label, phrase, n) AS (VALUES {", ".join(phrases)}),
 places AS (SELECT rid, label, i - 1 AS pos FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d) x, p WHERE array_to_string(list_slice(w, i, i + n - 1), ' ') = phrase),
 base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base_labels FROM places GROUP BY rid),
 t(label, tokens, need) AS (VALUES {", ".join(templates)}),
-l AS (SELECT rid, {_plain_words("line")} AS w FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) x),
-b AS (SELECT rid, list_distinct(list_slice(w, h + 1, h + {block})) AS s FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - {step} - 1, 0) + 1, {step})) AS h FROM l) x),
-m AS (SELECT rid, label, len(list_intersect(tokens, s)) / len(tokens) AS containment FROM b, t WHERE len(list_intersect(tokens, s)) >= need),
-more AS (SELECT rid, list(DISTINCT label) AS labels, max(containment) AS best, count(*) AS n_blocks FROM m GROUP BY rid)
+s AS (SELECT rid, string_split(text, chr(10)) AS ls, w FROM d),
+j AS (SELECT rid, j, {_plain_words("line")} AS w FROM (SELECT rid, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS j FROM s) x),
+l AS (SELECT rid, w, sum(len(w)) OVER (PARTITION BY rid ORDER BY j) - len(w) AS start FROM j),
+b AS (SELECT rid, start + h AS start, list_slice(w, h + 1, h + {block}) AS s FROM (SELECT rid, w, start, unnest(range(0, greatest(len(w) - {step} - 1, 0) + 1, {step})) AS h FROM l) x),
+m AS (SELECT rid, start, s, label, len(list_intersect(tokens, s)) / len(tokens) AS containment FROM b, t WHERE len(list_intersect(tokens, s)) >= need),
+marks AS (SELECT rid, start, list_filter(range(1, len(s) + 1), lambda i: list_contains({known}, s[i])) AS ks FROM m),
+taken AS (SELECT DISTINCT rid, unnest(range(cast(start + list_min(ks) - 1 as bigint), cast(start + list_max(ks) as bigint))) AS q FROM marks),
+v AS (SELECT rid, q, word, n FROM (SELECT rid, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS q FROM s WHERE len(ls) > 1) x WHERE list_contains({known}, word)),
+free AS (SELECT v.* FROM v LEFT JOIN taken ON taken.rid = v.rid AND taken.q = v.q WHERE taken.q IS NULL),
+heads AS (SELECT rid, word, n, unnest([q // {step} - 1, q // {step}]) AS h FROM free),
+windows AS (SELECT rid, h, list(DISTINCT word) AS s FROM heads WHERE h BETWEEN 0 AND greatest(n - {step} - 1, 0) // {step} GROUP BY rid, h),
+wrapped AS (SELECT rid, label, len(list_intersect(tokens, s)) / len(tokens) AS containment FROM windows, t WHERE len(list_intersect(tokens, s)) >= need),
+hits AS (SELECT rid, label, containment FROM m UNION ALL SELECT * FROM wrapped),
+more AS (SELECT rid, list(DISTINCT label) AS labels, max(containment) AS best, count(*) AS n_blocks FROM hits GROUP BY rid)
 SELECT doc_id, cast(len(w) as bigint) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base_labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(labels, [])))), ',') AS labels,
@@ -44,7 +56,7 @@ SELECT doc_id, cast(len(w) as bigint) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM d LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)"""
 
 
-def op3_sql(alpha: float = 0.02, delta: float = 0.05, max_strata: int = 64) -> str:
+def op3_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
     rules = quality.RULES
     rate = alpha / len(rules)
     n_tests = sum(len(c) for c in rules.values())
@@ -65,7 +77,7 @@ f AS (SELECT *, {share("n_symbols", "word_chars", "symbol_share")}, {share("n_ca
 l AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id),
 grid(rule, cutoff) AS (VALUES {grid}),
 h AS (SELECT f.*, good FROM f JOIN l ON l.doc_id = f.doc_id WHERE NOT base_failed),
-strata AS (SELECT stratum, sum(good) AS n, count(*) AS held FROM h GROUP BY stratum ORDER BY held DESC, stratum LIMIT {max_strata}),
+strata AS (SELECT stratum, sum(good) AS n, count(*) AS held FROM h GROUP BY stratum),
 k AS (SELECT stratum, rule, cutoff, sum(good) AS k, sum(1 - good) AS caught FROM (SELECT stratum, rule, cutoff, good, {value} AS v FROM h, grid) x WHERE v > cutoff GROUP BY stratum, rule, cutoff),
 tested AS (SELECT stratum, rule, cutoff, cast(n as bigint) AS n, cast(k as bigint) AS k, caught, (SELECT count(*) FROM strata) AS m FROM k JOIN strata USING (stratum)),
 certified AS (SELECT stratum, rule, cutoff, caught FROM tested WHERE k < n * {rate!r} AND caught > 0 AND list_sum(list_transform(range(k + 1), lambda i: {term})) <= {delta / n_tests!r} / m),

@@ -87,5 +87,47 @@ def test_wrapped_notices_are_found(spark):
     assert {h["label"] for h in hits[10]} == {"apache-2"}  # its words make no other notice with those around
 
 
+def test_whole_license_texts_are_templates(spark):
+    rng = random.Random(19)
+    body = " ".join(f"Clause{k} of w{k % 40} the" for k in range(60))  # 240 words
+    words = body.split()
+    wrapped = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    rows = [
+        (1, sentence(rng, 500) + "\n" + wrapped + "\n" + sentence(rng, 300), "en", "s", 0),
+        (2, sentence(rng, 90) + " " + body.upper(), "en", "s", 0),
+        (3, sentence(rng, 900), "en", "s", 0),
+        (4, wrapped[: len(wrapped) // 2], "en", "s", 0),
+        (5, "Released under the MIT License", "en", "s", 0),
+    ]
+    templates = {"body": (body,), "mit": ("Released under the MIT License",)}
+    got = {r["doc_id"]: {h["label"] for h in r["hits"]} for r in license_scan.scan_licenses(frame(spark, rows), templates=templates).collect()}
+    assert got == {1: {"body"}, 2: {"body"}, 3: set(), 4: set(), 5: {"mit"}}
+
+
+def test_the_sql_finds_wrapped_notices_too(spark, tmp_path):
+    import duckdb
+
+    from gatewright.llm import oracle, queries
+
+    rng = random.Random(20)
+    notices = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    rows = rows_()
+    for k in range(60):
+        words = rng.choice(notices).split()
+        for _ in range(rng.randrange(1, 4)):
+            i = rng.randrange(1, len(words))
+            words[i] = "\n" + words[i]
+        rows.append((900 + k, sentence(rng, rng.randrange(80)) + "\n" + " ".join(words) + rng.choice(["", "\n" + rng.choice(notices)]) + "\n" + sentence(rng, rng.randrange(80)), "en", "s", 0))
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_license_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"select {', '.join(got.columns)} from ({oracle.op2_sql()})").fetchall()
+    key = lambda r: repr(r)
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    found = [r for r in want if r[0] and r[0] >= 900]
+    assert sum(r[-1] > 0 for r in found) > 0.9 * len(found)
+
+
 def test_empty_table(spark):
     assert license_scan.scan_licenses(frame(spark, [])).collect() == []
