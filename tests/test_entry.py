@@ -8,7 +8,7 @@ import pytest
 
 from gatewright.operators import compare
 from gatewright.operators import quarantine as q
-from gatewright.plans import queries, sql_text
+from gatewright.plans import io_queries, queries, sql_text
 from gatewright.plans.rules import RULE_SETS
 
 DATA = "/root/testdata/sf0.001"
@@ -38,6 +38,19 @@ def test_every_query_has_sql_and_runs(spark):
         assert got.count() == len(want.fetchall())
 
 
+def test_sources_and_sinks_give_what_their_sql_says(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("customer", "orders", "events"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    found, oracle = io_queries.queries(), io_queries.oracle_sql()
+    assert set(found) == set(oracle)
+    for name, query in found.items():
+        got = query(spark, DATA)
+        want = con.sql(f"select {', '.join(got.columns)} from ({oracle[name]}) v").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), name
+
+
 def test_the_entry_works_without_the_subpackage():
     code = "import sys; sys.modules['gatewright.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 80 and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)

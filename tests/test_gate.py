@@ -132,6 +132,29 @@ def test_scoring_wants_all_anchors(spark, tmp_path):
     assert [tuple(r) for r in audit.false_positives(manifest, found).collect()] == [("b", "g", 2)]
 
 
+def test_companions_of_copies_are_no_false_positives(spark):
+    manifest = spark.createDataFrame([(1, "duplicate_row", [("f", 5)]), (2, "stale_feed", [("f", 9)])], "defect_id long, rule_name string, anchors array<struct<source_file:string,source_row:long>>")
+    found = spark.createDataFrame([("duplicate_row", "f", 4), ("duplicate_row", "f", 5), ("stale_feed", "f", 8), ("stale_feed", "f", 9)], "rule_name string, source_file string, source_row long")
+    assert sorted(tuple(r)[2] for r in audit.false_positives(manifest, found).collect()) == [4, 8]
+    assert [tuple(r)[2] for r in audit.false_positives(manifest, found, ("duplicate_row",)).collect()] == [8]
+    rows = audit.with_companion(found.where("rule_name = 'duplicate_row'"), ["rule_name"]).orderBy("source_row").collect()
+    assert [r["companion_rule_name"] for r in rows] == [None, "duplicate_row"]
+
+
+def test_rows_without_a_cusip_do_not_meet(spark):
+    rows = [(f"I{k}", None if k % 2 else f"C{k % 4}", "Cash", "USD", "f", k) for k in range(40)]
+    master = spark.createDataFrame(rows, "instrument_id string, cusip string, asset_class string, currency string, source_file string, source_row int")
+    found = q.violations({"security_master": master}, [r for r in GATE_RULES if r.name == "duplicate_identifier"], RUN_DATE).collect()
+    assert sorted(r["source_row"] for r in found) == [k for k in range(40) if k % 2 == 0]
+
+
+def test_predicates_are_evaluated_once(spark):
+    rules = [r for r in GATE_RULES if r.name in ("negative_price", "zero_price")]
+    tables, _ = corpus.gate_corpus(spark, days=2)
+    plan = q.violations({"pricing": tables["pricing"]}, rules, RUN_DATE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("THEN named_struct(rule_name, negative_price") <= 1 and "Generate explode(filter(" in plan
+
+
 def test_band_breach_bridges_non_positive_prices(spark):
     rows = [("I", d, p, "USD", "f", i) for i, (d, p) in enumerate([("2026-01-01", 100), ("2026-01-02", 0), ("2026-01-03", -3), ("2026-01-04", 151), ("2026-01-05", 150)])]
     pricing = spark.createDataFrame([(a, b, str(c), e, f, g) for a, b, c, e, f, g in rows], "instrument_id string, price_date string, price string, currency string, source_file string, source_row int").selectExpr("instrument_id", "cast(price_date as date) price_date", "cast(price as decimal(20,6)) price", "currency", "source_file", "source_row")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gatewright.operators import bitemporal
 from gatewright.plans import runs
-from gatewright.schemas import FEED_COLUMNS, GATE_TABLES
+from gatewright.schemas import DAILY_COLUMNS, FEED_COLUMNS, GATE_TABLES
 from gatewright.sources import corpus, files, sinks
 
 
@@ -51,3 +51,21 @@ def test_reads_and_restatement(spark):
     after, before_n, after_n = bitemporal.restate_price(v, "INS-0001", day, "9.99", F.to_timestamp(F.lit("2026-08-29")), F.lit(1))
     assert (before_n, after_n) == (1, 2)
     assert bitemporal.latest_of(after, "PRICE", "INS-0001", day).first()["payload"]["price"] == "9.99"
+
+
+def test_seeding_and_a_day(spark, tmp_path):
+    tables, _ = corpus.gate_corpus(spark, days=2)
+    (tmp_path / "corpus").mkdir()
+    write_corpus(spark, tables, tmp_path / "corpus")
+    n = sum(tables[t].count() for t in ("security_master", "pricing", "positions"))
+    for _ in range(2):  # the second start finds the store seeded
+        assert runs.seed_vintages(spark, str(tmp_path / "corpus"), str(tmp_path / "store"), recorded_at="2026-08-28") == n
+    rows = corpus.daily_corpus(spark).where("source_file LIKE 'equity_us%' OR source_file LIKE 'bond_us%'")
+    sinks.write_named_csv(rows, str(tmp_path / "in"), list(DAILY_COLUMNS), "at")
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "run"), str(tmp_path / "published"))
+    first = runs.daily_run(*args, data_dir=f"file://{tmp_path}/tables")
+    again = runs.daily_run(*args, data_dir=f"file://{tmp_path}/tables")
+    assert (first["executed"], first["skipped"], again["executed"], again["skipped"]) == (55, 0, 0, 55)
+    assert first["record_count"] == rows.count() and again["checksum"] == first["checksum"]
+    assert first["violations"] == 33  # the schemas without files
+    assert files.read_json_vintages(spark, str(tmp_path / "published")).count() == 1

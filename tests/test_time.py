@@ -51,6 +51,30 @@ def test_cache_is_stale_until_invalidated(spark, tmp_path):
     assert [r["payload"]["price"] for r in cache.read(moved, keys).collect()] == ["2"]
 
 
+def test_cache_state_is_in_its_folder_and_times_out(spark, tmp_path):
+    now = [1_000_000_000]
+    open_cache = lambda: bitemporal.LatestCache(str(tmp_path / "cache"), ttl_seconds=30, clock=lambda: now[0])
+    keys = spark.createDataFrame([("K",), ("L",)], "key string")
+    v = vintages(spark, ("K", "2026-01-01 00:00:00", 1, "1"), ("L", "2026-01-01 00:00:00", 2, "5"))
+    open_cache().read(v, keys).count()
+    files_before = len(list((tmp_path / "cache").glob("*.parquet")))
+    moved = v.unionByName(vintages(spark, ("K", "2026-01-02 00:00:00", 3, "2")))
+    price = lambda: {r["key"]: r["payload"]["price"] for r in open_cache().read(moved, keys).collect()}
+    now[0] += 29 * 10**9
+    assert open_cache().is_cached(spark, "K") and price() == {"K": "1", "L": "5"}  # another opener sees what was cached
+    assert len(list((tmp_path / "cache").glob("*.parquet"))) == files_before  # a read of cached keys writes nothing
+    now[0] += 2 * 10**9
+    assert not open_cache().is_cached(spark, "K") and price() == {"K": "2", "L": "5"}
+    open_cache().invalidate(keys.where("key = 'L'"))
+    assert open_cache().is_cached(spark, "K") and not open_cache().is_cached(spark, "L")
+
+
+def test_push_against_polling(spark):
+    late = spark.createDataFrame([(0, 2), (50, 4), (200, 6)], "changed_at long, latency_ms long")
+    assert tuple(changefeed.against_polling(late, interval_ms=200).first()) == (3, 4.0, 50.0)
+    assert tuple(changefeed.against_polling(late, interval_ms=200, phase_ms=60).first()) == (3, 4.0, (60 + 10 + 60) / 3)
+
+
 def test_change_feed_invalidates_once(spark, tmp_path):
     feed, ckpt, late = (str(tmp_path / x) for x in ("feed", "ckpt", "late"))
     cache = bitemporal.LatestCache(str(tmp_path / "cache"))
