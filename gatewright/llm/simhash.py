@@ -9,7 +9,8 @@
   each group, never all pairs. A key with more than ``dense_limit`` different fingerprints is not
   gathered: every fingerprint names the centres within two bits of it (over the key's free bits),
   and those at a centre are linked to the smallest that is within one bit. That finds all pairs
-  within three bits by rows in proportion to the fingerprints, with at most 529 at a centre.
+  within three bits by rows in proportion to the fingerprints, with at most 562 at a centre: a key
+  leaves 31 to 33 bits free, and 1 + 33 + 33 * 32 / 2 fingerprints lie within two of them.
 * Stars are merged to components by alternating large-star and small-star steps on salted keys,
   each written to the shared folder.
 """
@@ -21,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,10 +144,17 @@ def links(classes: DataFrame, *, dense_limit: int = DENSE_LIMIT) -> DataFrame:
     """Distinct links (u, v) between different fingerprints: enough to join all within the distance."""
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(MASKS)])
     keyed = classes.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
-    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).where("n > 1")
-    buckets = sized.where(F.col("n") <= dense_limit).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
+    # Counted before any key is gathered; few keys are hot, as each has so many fingerprints.
+    counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n"))
+    hot_keys = materialize(counts.where(F.col("n") > dense_limit).select(F.col("t").alias("ht"), F.col("key").alias("hkey")), "simhash-hot")
+    any_hot = not hot_keys.isEmpty()
+    is_hot = (F.col("t") == F.col("ht")) & (F.col("key") == F.col("hkey"))
+    few = keyed.join(hot_keys, is_hot, "left_anti") if any_hot else keyed
+    buckets = few.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
     dense = buckets.mapInArrow(_bucket_links, "u long, v long")
-    hot = sized.where(F.col("n") > dense_limit).select("fp", "t", F.explode(_centres(F.col("t"))).alias("c")).select("fp", "t", F.col("fp").bitwiseXOR(F.col("c.flip")).alias("centre"), "c.far")
+    if not any_hot:
+        return dense.distinct()
+    hot = keyed.join(hot_keys, is_hot, "left_semi").select("fp", "t", F.explode(_centres(F.col("t"))).alias("c")).select("fp", "t", F.col("fp").bitwiseXOR(F.col("c.flip")).alias("centre"), "c.far")
     at_centre = hot.groupBy("t", "centre").agg(F.min(F.when(F.col("far") == 0, F.col("fp"))).alias("root"), F.collect_list("fp").alias("fps")).where(F.col("root").isNotNull() & (F.size("fps") > 1))
     sparse = at_centre.select("root", F.explode("fps").alias("fp")).where("fp <> root").select(F.least("root", "fp").alias("u"), F.greatest("root", "fp").alias("v"))
     return dense.unionByName(sparse).distinct()
