@@ -2,22 +2,21 @@
 
 Counting. Training texts are cut into words and an end mark each. Unigrams and bigrams are
 counted over all of them: each task counts chunks of text, and sends sorted hashes as packed
-blobs, dealt by hash range, so a frequent n-gram is one entry for each chunk.
+blobs, dealt by hash range, so a frequent n-gram is one entry for each chunk of a million tokens.
 
 Filter. A count c is quantised to level 1 + floor(log c / log BASE), and an n-gram is put into the
 filter once for each level up to its own, so its count is read by probing level after level
-until one is missing. ``score_corpus``, which the query runs, puts in every n-gram: each range of
-hashes has a filter of its own, sized from its own levels, and chunks of text send it the distinct
-n-grams that they ask for and get their levels back. No filter is gathered or broadcast, so it
-grows with the corpus. ``fit_lm`` makes a filter of a fixed size instead, to be broadcast; it
-leaves out bigrams seen once, and counts below the least one for which all levels fit.
+until one is missing. Every n-gram is put in, those seen once too. The hashes are dealt to ranges,
+in number as the text needs; each range has a filter of its own, sized from its own levels. The
+workers that probe a range's filter are sent that filter alone: chunks of text ask it for the
+distinct n-grams that they hold and get their levels back. No filter is gathered or broadcast
+whole, so it grows with the corpus.
 
 Score. p(w | v) = WEIGHT * c(v w) / c(v) + (1 - WEIGHT) * (c(w) + 1) / (N + V + 1), with all
-counts from the filter.
+counts from the filter. A probe that finds a level too many takes a count for up to BASE times its
+own; at half load and HASHES bits that is one in 2**HASHES for each level.
 
-The exact add-one baseline needs exact counts, which the ranges send along for words. After
-``fit_lm``, those of the most frequent words, a number of bounded size, are broadcast; the other
-words' ones are joined by word.
+The exact add-one baseline needs exact counts, which the ranges send along for words.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,16 +35,12 @@ from .kernels import LOWER, WHITE, mix, pieces, word_hashes, words
 from .scratch import materialize
 
 BASE = math.sqrt(2)
-FILTER_BITS = 1 << 28
 HASHES = 5
 BLOCK_BITS = 1 << 19
 WEIGHT = 0.2
-#: The most frequent words whose exact counts are broadcast, at most.
-FREQUENT = 1 << 18
-#: Bytes of training text for each range of hashes, and of each counted chunk.
-RANGE_BYTES = 32 << 20
-#: The same where ranges also answer.
+#: Bytes of text for each range of hashes.
 ASKED_BYTES = 16 << 20
+#: Tokens of a chunk.
 CHUNK_TOKENS = 1 << 20
 #: The end mark, which also stands before the first word. No word has this hash.
 END = np.uint64(0)
@@ -137,54 +132,6 @@ def token_pieces(column: pa.Array) -> Iterator[Tokens]:
         yield Tokens(out, before, np.repeat(p.rows, size))
 
 
-def ngram_counts(train: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """A written table (kind, h, c): exact counts of all unigrams, and of bigrams seen twice or more."""
-    texts = train.select(F.col(text_col).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(16, math.ceil(size / RANGE_BYTES))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind, top in ((1, 64), (2, 48)):
-                h, c = summed(np.concatenate([x[kind - 1] for x in held]), np.ones(n, np.int64))
-                cuts = np.searchsorted(h, np.array([(k << top) // ranges for k in range(1, ranges)], np.uint64))
-                for k, (a, b) in enumerate(zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(h)]]), strict=True)):
-                    if b > a:
-                        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k], pa.int64()), pa.array([pack(h[a:b], c[a:b])], pa.binary())], names=["kind", "part", "blob"])
-
-        for batch in batches:
-            for t in token_pieces(batch.column(0)):
-                held.append((t.h, pair_hashes(t.before, t.h)))
-                n += len(t.h)
-                if n >= CHUNK_TOKENS:
-                    yield from flush()
-                    held, n = [], 0
-        if n:
-            yield from flush()
-
-    def count(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
-        for blob in table.column("blob"):
-            found.append(unpack(blob.as_py()))
-            waiting += len(found[-1][0])
-            if waiting > max(1 << 20, len(h)):
-                h, c = summed(np.concatenate([h, *[x[0] for x in found]]), np.concatenate([c, *[x[1] for x in found]]))
-                found, waiting = [], 0
-        h, c = summed(np.concatenate([h, *[x[0] for x in found]]), np.concatenate([c, *[x[1] for x in found]]))
-        if kind == 2:
-            h, c = h[c > 1], c[c > 1]
-        return pa.table({"kind": pa.array(np.full(len(h), kind, np.int32)), "h": pa.array(h.view(np.int64)), "c": pa.array(c)})
-
-    packed = texts.mapInArrow(run, "kind int, part long, blob binary")
-    return materialize(packed.groupBy("kind", "part").applyInArrow(count, "kind int, h long, c long"), "lm-counts")
-
-
 class CountFilter:
     """A Bloom filter of (n-gram, level), in blocks; n-grams of both kinds are told apart by a mark."""
 
@@ -231,70 +178,6 @@ class CountFilter:
         return LEVEL_COUNTS[self.levels(kind, h)]
 
 
-def least_count(counts: DataFrame, n_bits: int) -> int:
-    """The smallest count from which on all levels of all n-grams fit at half load."""
-    room = n_bits * math.log(2) / HASHES
-    level = F.floor(F.log(F.col("c").cast("double")) / math.log(BASE) + 1e-9) + 1
-    by_count = counts.groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.sum(level).alias("levels")).collect()
-    total = 0
-    for r in sorted(by_count, key=lambda r: -r["c"]):
-        total += r["levels"]
-        if total > room:
-            return r["c"] + 1
-    return 1
-
-
-def build_filter(counts: DataFrame, *, n_bits: int = FILTER_BITS) -> CountFilter:
-    """The filter of a counts table. Each block is built by one task from its own n-grams."""
-    n_blocks = max(1, n_bits // BLOCK_BITS)
-    least = least_count(counts, n_bits)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kind, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-            key = np.where(kind == 1, CountFilter.key(1, h), CountFilter.key(2, h))
-            yield pa.RecordBatch.from_arrays([pa.array(CountFilter.block(key, n_blocks).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(level_of(b.column(2).to_numpy()).astype(np.int32))], names=["block", "key", "level"])
-
-    def fill(table: pa.Table) -> pa.Table:
-        flags = np.zeros(BLOCK_BITS, bool)
-        key, level = table.column("key").to_numpy().view(np.uint64), table.column("level").to_numpy()
-        first, step = CountFilter.steps(key)
-        for q in range(1, int(level.max()) + 1):
-            own = level >= q
-            for k in range(HASHES):
-                flags[CountFilter.place(first[own], step[own], q, k).astype(np.int64)] = True
-        return pa.table({"block": pa.array(table.column("block").to_numpy()[:1]), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
-
-    rows = counts.where(F.col("c") >= least).select("kind", "h", "c").mapInArrow(keyed, "block long, key long, level int")
-    bits = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
-    for r in rows.groupBy("block").applyInArrow(fill, "block long, bits binary").toLocalIterator():  # n_bits / 8 bytes
-        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return CountFilter(bits)
-
-
-@dataclass
-class LmModel:
-    n: int
-    v: int
-    filter: CountFilter
-    frequent: np.ndarray  # sorted hashes
-    frequent_counts: np.ndarray
-    frequent_from: int
-
-
-def fit_lm(counts: DataFrame, *, n_bits: int = FILTER_BITS, frequent: int = FREQUENT) -> LmModel:
-    words_only = counts.where("kind = 1")
-    total = words_only.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    by_count = words_only.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count()
-    # 65,536 rows at most, whatever the corpus.
-    above = by_count.select("c", F.sum("count").over(Window.orderBy(F.desc("c"))).alias("words")).where(F.col("words") <= frequent)
-    least = above.agg(F.min("c")).first()[0] or (1 << 62)
-    top = words_only.where(F.col("c") >= least).select("h", "c").toArrow()
-    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.argsort(h)
-    return LmModel(int(total["n"] or 0), int(total["v"] or 0), build_filter(counts, n_bits=n_bits), h[order], c[order], int(least))
-
-
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of its values each entry has, and the values, by hashing."""
     import pandas as pd
@@ -303,84 +186,6 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, values.view(np.uint64)
 
 
-def score_tokens(model: LmModel, t: Tokens, codes: np.ndarray, values: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of the model's probability of each token; ``codes`` and ``values`` are its distinct words."""
-    own = model.filter.counts(1, values)[codes]
-    given = np.empty(len(own))
-    if len(own):  # the token before is the entry before, but for the first of the piece
-        given[0] = model.filter.counts(1, t.before[:1])[0]
-        given[1:] = own[:-1]
-    pair = np.zeros(len(t.h))
-    some = np.flatnonzero((own > 0) & (given > 0))
-    which, pairs = distinct(pair_hashes(t.before[some], t.h[some]))
-    pair[some] = model.filter.counts(2, pairs)[which]
-    share = np.minimum(pair / np.maximum(given, 1), 1.0)
-    return np.log10(weight * share + (1 - weight) * (own + 1) / (model.n + model.v + 1))
-
-
-def score_documents(docs: DataFrame, model: LmModel, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT) -> DataFrame:
-    """``(id, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
-
-    A null or empty text is its end mark alone. Ids may be null or repeat: rows have numbers of
-    their own, written with what the first pass finds. Other columns are not read.
-    """
-    narrow = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid")).alias("key"), F.col(text_col).alias("text"))
-    schema = T.StructType(
-        [
-            T.StructField("key", narrow.schema["key"].dataType),
-            *[T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known")],
-            *[T.StructField(x, T.DoubleType()) for x in ("known", "score")],
-            T.StructField("rare", T.ArrayType(T.LongType())),
-            T.StructField("times", T.ArrayType(T.IntegerType())),
-        ]
-    )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: LmModel = shared.value
-        logs = np.log10(m.frequent_counts + 1.0)
-        for batch in batches:
-            size = len(batch)
-            n, known, base, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-            rare_rows, rare_words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for t in token_pieces(batch.column(1)):
-                n += np.bincount(t.row, minlength=size)
-                codes, values = distinct(t.h)
-                at = np.minimum(np.searchsorted(m.frequent, values), max(len(m.frequent) - 1, 0))
-                is_frequent = m.frequent[at] == values if len(m.frequent) else np.zeros(len(values), bool)
-                hit = is_frequent[codes]
-                known += np.bincount(t.row[hit], minlength=size)
-                base += np.bincount(t.row[hit], weights=logs[at[codes[hit]]] if len(logs) else None, minlength=size)
-                score += np.bincount(t.row, weights=score_tokens(m, t, codes, values, weight), minlength=size)
-                rare_rows.append(t.row[~hit])
-                rare_words.append(t.h[~hit])
-            rows, words_ = np.concatenate(rare_rows), np.concatenate(rare_words)
-            order = np.lexsort((words_, rows))
-            rows, words_ = rows[order], words_[order]
-            first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (words_[1:] != words_[:-1])])) if len(rows) else np.zeros(0, np.int64)
-            times = np.diff(np.concatenate([first, [len(rows)]]))
-            cuts = pa.array(np.searchsorted(rows[first], np.arange(size + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(cuts, pa.array(words_[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32)))],
-                names=schema.names,
-            )
-
-    passed = materialize(narrow.mapInArrow(run, schema), "lm-first-pass")
-    rare = passed.select(F.col("key.rid").alias("rid"), F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    exact = counts.where((F.col("kind") == 1) & (F.col("c") < model.frequent_from)).select("h", "c")
-    sums = rare.join(exact, F.col("word") == F.col("h")).groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("more"), F.sum("times").alias("more_known"))
-    whole = passed.select("key", "n_tokens", "n_known", "known", "score").join(sums.withColumnRenamed("rid", "of"), F.col("key.rid") == F.col("of"), "left")
-    norm = math.log10(model.n + model.v + 1)
-    return whole.select(
-        F.col("key.id").alias(id_col),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("known") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        "score",
-    )
-
-
 def squeeze(values: np.ndarray) -> bytes:
     """Whole numbers by byte planes, compressed."""
     import zstandard
@@ -419,13 +224,29 @@ def sorted_distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place[codes], values[order]
 
 
+def range_runs(values: np.ndarray, top: int, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) of the ranges that hold some of these sorted hashes of ``top`` bits.
+
+    Only those are visited, so a chunk costs as much as its n-grams however many ranges there are.
+    """
+    if not len(values):
+        return
+    part = (values >> np.uint64(top - 32)) * np.uint64(ranges) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    yield from zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True)
+
+
 def score_corpus(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT) -> DataFrame:
-    """The rows of ``score_documents``, by a model of the rows of ``docs`` for which ``train`` is true.
+    """``(id, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``, by a model of those for which ``train`` is true.
 
     Every n-gram of them is counted and put into a filter. A chunk of text is written with the
     numbers of its tokens in its own list of words, and sends each range of hashes its distinct
     n-grams with their counts in training texts; those that only other texts have are sent with 0,
     and get what the filter says of them. Nothing that grows with the corpus is broadcast.
+
+    A null or empty text is its end mark alone. Ids may be null or repeat: rows have numbers of
+    their own. Without training rows all counts are 0; an empty table gives no rows. Other columns
+    are not read. Words are known by 64-bit hashes, bigrams by 48-bit ones.
     """
     narrow = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid")).alias("key"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     key_type = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("rid", T.LongType())])
@@ -453,10 +274,8 @@ def score_corpus(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text
             rows = [(0, 0, squeeze(codes[1:].astype(np.uint32)), squeeze(np.diff(words_, prepend=np.uint64(0))), squeeze(np.concatenate([t[2] for t in held]).astype(np.uint32)), int(before[:1].view(np.int64)[0]))]
             for kind, top, values, own in ((1, 64, words_, codes[1:]), (2, 48, pairs, which)):
                 c = np.bincount(own, weights=weights, minlength=len(values)).astype(np.int64)
-                cuts = np.searchsorted(values, np.array([(k << top) // ranges for k in range(1, ranges)], np.uint64))
-                for k, (a, b) in enumerate(zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(values)]]), strict=True)):
-                    if b > a:
-                        rows.append((kind, k, pack(values[a:b], c[a:b]), None, None, None))
+                for part, a, b in range_runs(values, top, ranges):
+                    rows.append((kind, part, pack(values[a:b], c[a:b]), None, None, None))
             keys = pa.concat_arrays([t[3] for t in held])
             lists = pa.ListArray.from_arrays(pa.array([0, *[len(keys)] * len(rows)], pa.int32()), keys)
             types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())

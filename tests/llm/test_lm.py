@@ -19,53 +19,42 @@ def rows_():
     return rows
 
 
-def test_baseline_is_exact_and_model_is_a_probability(spark):
+def test_baseline_is_exact_and_model_is_a_probability(spark, monkeypatch):
     rows = rows_()
     train = [r for r in rows if r[0] and r[0] % 2]
-    df = frame(spark, rows, extra=True)
-    for frequent in (1 << 18, 5):  # all words broadcast, and most of them joined
-        counts = lm.ngram_counts(frame(spark, train))
-        model = lm.fit_lm(counts, n_bits=1 << 22, frequent=frequent)
-        got = lm.score_documents(df, model, counts).collect()
-        c = Counter(w for r in train for w in [*WHITE.findall(lower(r[1])), None])
-        n, v = sum(c.values()), len(c)
-        assert (model.n, model.v) == (n, v)
-        want = []
-        for r in rows:
-            w = [*WHITE.findall(lower(r[1])), None]
-            want.append((r[0], len(w), sum(c[x] > 0 for x in w), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)))
+    c = Counter(w for r in train for w in [*WHITE.findall(lower(r[1])), None])
+    n, v = sum(c.values()), len(c)
+    want = []
+    for r in rows:
+        w = [*WHITE.findall(lower(r[1])), None]
+        want.append((r[0], len(w), sum(c[x] > 0 for x in w), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)))
+    for asked_bytes in (16 << 20, 64):  # 16 ranges, and more ranges than n-grams in a chunk
+        monkeypatch.setattr(lm, "ASKED_BYTES", asked_bytes)
+        got = lm.score_corpus(frame(spark, rows, extra=True), F.col("doc_id") % 2 != 0).collect()
         assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got), key=repr) == sorted(want, key=repr)
         assert all(r["score"] < 0 and r["train_tokens"] == n for r in got)
 
 
-def test_counts_are_exact(spark):
-    train = rows_()
-    got = {(r["kind"], r["h"] % (1 << 64)): r["c"] for r in lm.ngram_counts(frame(spark, train)).collect()}
-    uni, bi = Counter(), Counter()
-    for r in train:
-        h = [0, *[kernels.word_hash(w.encode()) for w in WHITE.findall(lower(r[1]))], 0]
-        uni.update(h[1:])
-        bi.update(int(x) for x in lm.pair_hashes(np.array(h[:-1], np.uint64), np.array(h[1:], np.uint64)))
-    assert got == {**{(1, h): c for h, c in uni.items()}, **{(2, h): c for h, c in bi.items() if c > 1}}
+def test_runs_of_ranges_hold_all_hashes():
+    h = np.sort(np.random.default_rng(4).integers(0, 1 << 64, 500, np.uint64))
+    for top, ranges in ((64, 16), (64, 100000), (48, 7)):
+        own = h >> np.uint64(64 - top)
+        runs = list(lm.range_runs(own, top, ranges))
+        assert [a for _, a, _ in runs] == [0, *[b for _, _, b in runs[:-1]]] and runs[-1][2] == len(own)
+        parts = [p for p, _, _ in runs]
+        assert parts == sorted(set(parts)) and max(parts) < ranges and len(runs) <= len(own)
+    assert list(lm.range_runs(h[:0], 64, 5)) == []
 
 
-def test_filter_holds_levels(spark):
+def test_filter_holds_levels():
     rng = np.random.default_rng(2)
-    h, c = rng.integers(0, 1 << 63, 3000, np.int64), rng.geometric(0.05, 3000)
-    counts = spark.createDataFrame([(1 + int(i % 2), int(x), int(n)) for i, (x, n) in enumerate(zip(h, c))], "kind int, h long, c long")
-    f = lm.build_filter(counts, n_bits=1 << 21)
+    h, c = rng.integers(0, 1 << 63, 3000, np.int64).view(np.uint64), rng.geometric(0.05, 3000)
     for kind in (1, 2):
-        own = np.arange(3000) % 2 == kind - 1
-        assert (f.levels(kind, h[own].view(np.uint64)) >= lm.level_of(c[own])).all()
-        assert (f.levels(kind, h[own].view(np.uint64)) == lm.level_of(c[own])).mean() > 0.9
-    unseen = rng.integers(0, 1 << 63, 20000, np.int64).view(np.uint64)
-    assert (f.levels(1, unseen) > 0).mean() < 0.08
-
-
-def test_a_small_filter_keeps_the_larger_counts(spark):
-    counts = spark.createDataFrame([(1, i * 7919, 1 + i % 50) for i in range(1, 40000)], "kind int, h long, c long")
-    assert 1 < lm.least_count(counts, 1 << 19) < 50
-    assert lm.least_count(counts, 1 << 28) == 1
+        f = lm.filter_of(kind, h, c)
+        assert (f.levels(kind, h) >= lm.level_of(c)).all()
+        assert (f.levels(kind, h) == lm.level_of(c)).mean() > 0.9
+        unseen = rng.integers(0, 1 << 63, 20000, np.int64).view(np.uint64)
+        assert (f.levels(kind, unseen) > 0).mean() < 2 / 2**lm.HASHES  # the stated rate of false answers, twice over
 
 
 def test_levels_and_their_counts():
@@ -90,14 +79,6 @@ def test_pieces_do_not_change_tokens(monkeypatch):
     assert join() == whole
 
 
-def test_empty_training_and_empty_table(spark):
-    counts = lm.ngram_counts(frame(spark, []))
-    model = lm.fit_lm(counts, n_bits=1 << 20)
-    got = lm.score_documents(frame(spark, odd_rows()), model, counts).collect()
-    assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in got} == {(0, 0, 0.0)}
-    assert lm.score_documents(frame(spark, []), model, counts).collect() == []
-
-
 def test_corpus_scores_come_from_every_ngram(spark, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK_TOKENS", 200)
     rows = [(-7, " ".join(f"only{k} once{k}" for k in range(300)), "en", "s", 0), *rows_()]
