@@ -56,6 +56,11 @@ def test_the_entry_works_without_the_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_the_entry_works_without_its_libraries():
+    code = "import sys; sys.modules['numpy'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.oracle_sql()) > 80"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
 def test_nothing_else_imports_the_subpackage():
     for p in (ROOT / "gatewright").rglob("*.py"):
         if "llm" not in p.parts:
