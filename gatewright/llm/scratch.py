@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PREFIX = "__gw_"
+from ..sources.staging import fresh_path
 
+PREFIX = "__gw_"
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent and everything runs on one machine, a temporary folder of this
-    application is used. On a cluster that is an error, since executors see no local folders.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"{tempfile.gettempdir()}/gatewright-{spark.sparkContext.applicationId}"
-    return root.rstrip("/")
+#: Paths of the tables that were written and not yet released.
+_written: list[str] = []
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -31,10 +20,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     A lost executor then costs only the reads that it was serving, and several consumers
     read the table instead of computing it again.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/gatewright/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, label)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written() -> list[str]:
+    """The tables written so far and not released."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Empty tables that nothing reads any more, through Spark's own writer, whatever store holds them."""
+    nothing = spark.range(0)
+    for path in paths:
+        nothing.write.mode("overwrite").parquet(path)
+        _written.remove(path)
 
 
 def bucket_of(id_col: Column, modulus: int) -> Column:

@@ -107,3 +107,29 @@ def test_every_language_is_learned(spark):
     held_out = [(k, text(k, rng), None, "s", 0) for k in range(70)]
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, held_out), model).collect()}
     assert got == {k: f"l{k:02d}" for k in range(70)}
+
+
+def test_several_models_say_what_one_says(spark):
+    train = frame(spark, train_rows())
+    one, many = langid.fit_ppm(train), langid.fit_ppm(train, model_bytes=1)
+    assert isinstance(many, list) and [m().languages for m in many] == [["aa"], ["bb"], ["cc"]]
+    rng = random.Random(18)
+    rows = [(100 + i, text_of(lang, rng, 4), lang, "s", 0) for i, lang in enumerate(["aa", "bb", "cc"] * 5)]
+    docs = frame(spark, [*odd_rows(), *rows], extra=True)
+    key = lambda r: (repr(r["doc_id"]), r["lang_pred"], r["score"])
+    a, b = (sorted(langid.identify(docs, m).collect(), key=key) for m in (one, many))
+    assert [(r["doc_id"], r["lang_pred"]) for r in a] == [(r["doc_id"], r["lang_pred"]) for r in b]
+    assert np.allclose([r["score"] for r in a], [r["score"] for r in b], rtol=1e-3)
+
+
+def test_languages_are_packed_by_size():
+    sizes = [("a", 10), ("b", 10), ("c", 500), ("d", 10)]
+    bound = 4 * 12 * (144 + 20) * 2
+    assert langid.packed_languages(sizes, 10, bound) == [["a", "b"], ["c"], ["d"]]
+    assert langid.packed_languages(sizes, 10, 1 << 30) == [["a", "b", "c", "d"]]
+
+
+def test_a_share_of_very_many_rows_is_not_zero():
+    from gatewright.llm.scratch import DRAWS, draw_below
+
+    assert draw_below(2000 / 1e18) > 0 and draw_below(1e-30) == 1 and draw_below(2.0) == DRAWS
