@@ -175,7 +175,7 @@ def scan_column(index: WindowIndex, column: pa.Array) -> tuple[list[int], list[l
 
 def benchmark_blocks(benchmark: DataFrame, *, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
     """The items, a bounded block at a time. Items without an id or a word are in none."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = math.ceil(total / block_bytes)
     for b in range(n):
@@ -217,13 +217,35 @@ def _merged(spans):
     return F.aggregate(F.sort_array(spans), one, lambda acc, s: F.when((F.size(acc) > 0) & (s["first"] <= F.try_element_at(acc, F.lit(-1))["after"]), longer(acc, s)).otherwise(F.concat(acc, F.array(s))))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _scan_blocks(rows: DataFrame, first: WindowIndex, second: WindowIndex, more: Iterator[WindowIndex]) -> DataFrame:
+    """``_scan`` of several blocks over written rows (id, text) of distinct ids: one block's index at a time."""
+    union = materialize(_scan(rows, first), "decontam-hits")
+    index: WindowIndex | None = second
+    while index is not None:  # later blocks add the rows that they hit
+        union = union.unionByName(materialize(_scan(rows, index).where(F.size("items") > 0), "decontam-hits"))
+        index = next(more, None)
+    spans, items = F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    merged = union.groupBy("id").agg(F.max("n_words").alias("n_words"), spans, items)
+    return merged.select("id", "n_words", _merged(F.col("spans")).alias("spans"), "items")
+
+
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    width: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """``(id, n_words, n_hit, spans, items)`` for each row of ``docs``.
 
     ``spans`` are the runs of words inside windows, ``items`` the ids (as text, sorted) of items
     with a window in the text. Null and empty texts have no words; an empty benchmark hits
-    nothing; ids may be null or repeat, each row is judged alone; other columns are not read.
-    Words are compared by 64-bit hashes.
+    nothing; ids may be null or repeat, each row is judged alone, by a number of its own; other
+    columns are not read. Words are compared by 64-bit hashes.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = _indexes(narrow, benchmark, item_col, item_text_col, width, block_bytes)
@@ -231,13 +253,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     if second is None:
         found = _scan(narrow, first)
     else:
-        rows = materialize(narrow.select(F.struct("id", F.monotonically_increasing_id().alias("rid")).alias("id"), "text"), "decontam-rows")
-        union = materialize(_scan(rows, first), "decontam-hits")
-        while second is not None:  # one block's index at a time; later blocks add the rows they hit
-            union = union.unionByName(materialize(_scan(rows, second).where(F.size("items") > 0), "decontam-hits"))
-            second = next(blocks, None)
-        merged = union.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = merged.select(F.col("id.id").alias("id"), "n_words", _merged(F.col("spans")).alias("spans"), "items")
+        rows = materialize(narrow.select("id", F.monotonically_increasing_id().alias("rid"), "text"), "decontam-rows")
+        merged = _scan_blocks(rows.select(F.col("rid").alias("id"), "text"), first, second, blocks).withColumnRenamed("id", "of")
+        found = rows.select("id", "rid").join(merged, F.col("rid") == F.col("of")).select("id", "n_words", "spans", "items")
     return found.select(F.col("id").alias(id_col), "n_words", _hit_words(F.col("spans")).alias("n_hit"), "spans", "items")
 
 
@@ -255,12 +273,33 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all columns, whatever their names."""
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    width: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all columns, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark drops none
+    and an empty table gives no rows. With one block rows pass by it whole; with more they are
+    numbered and written, and only the numbers of those that go are joined back.
+    """
     row = F.col(PREFIX + "row")
-    wrapped = wrap(docs).select(row.alias("id"), row[text_col].alias("text"))
-    found = contamination(wrapped, benchmark, id_col="id", **options)
-    return found.where(~contaminated(F.col("n_hit"), F.col("n_words"))).select(*unwrap(docs.columns, [], "id"))
+    blocks = _indexes(docs.select(F.col(text_col).alias("text")), benchmark, item_col, item_text_col, width, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    bad = contaminated(_hit_words(F.col("spans")), F.col("n_words"))
+    if second is None:
+        found = _scan(wrap(docs).select(row.alias("id"), row[text_col].alias("text")), first)
+        return found.where(~bad).select(*unwrap(docs.columns, [], "id"))
+    rows = materialize(wrap(docs).select(row, F.monotonically_increasing_id().alias("rid")), "decontam-rows")
+    found = _scan_blocks(rows.select(F.col("rid").alias("id"), row[text_col].alias("text")), first, second, blocks)
+    gone = found.where(bad).select(F.col("id").alias("gone"))
+    return rows.join(gone, F.col("rid") == F.col("gone"), "left_anti").select(*unwrap(docs.columns, []))
 
 
 def read_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

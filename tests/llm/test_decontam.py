@@ -74,15 +74,16 @@ def test_clean_rows_stay_whole(spark):
     rows, items = planted()
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = frame(spark, rows, extra=True)
-    kept = decontam.drop_contaminated(df, bench)
-    assert kept.columns == df.columns
     named = [(i, t) for i, t in items if i is not None]
     want = []
     for r in rows:
         n, hit, _ = brute(r[1], named)
         if not (hit and 20 * hit >= n):
             want.append((r[0], r[1]))
-    assert collected(kept.select("doc_id", "text")) == sorted(want, key=repr)
+    for block_bytes in (4 << 20, 400):  # one block, and several
+        kept = decontam.drop_contaminated(df, bench, block_bytes=block_bytes)
+        assert kept.columns == df.columns
+        assert collected(kept.select("doc_id", "text")) == sorted(want, key=repr)
 
 
 def test_empty_tables(spark):
