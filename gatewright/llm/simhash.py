@@ -13,6 +13,10 @@
   leaves 31 to 33 bits free, and 1 + 33 + 33 * 32 / 2 fingerprints lie within two of them.
 * Stars are merged to components by alternating large-star and small-star steps on salted keys,
   each written to the shared folder.
+
+Three bits of 64 join copies with a word or two changed. ``keep_one``, which a pipeline uses, takes
+near-duplicates at a similarity of 0.8 of five-word shingles, whose fingerprints differ in a seventh
+of their bits: by longer fingerprints, cut into blocks and joined in the same way.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import WHITE, pieces
+from .kernels import LOWER, WHITE, mix, pieces, word_hashes, words
 from .scratch import PREFIX, let, materialize, unwrap, wrap
 
 SEED = 42
@@ -219,15 +223,217 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return near_groups(fps, dense_limit=dense_limit).withColumnRenamed("id", id_col)
 
 
+#: Seeds of the four words of 64 bits that a signature has of each kind.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Words of the shingles that are compared, and of those whose fingerprints are cut into blocks.
+COMPARED, BLOCKED = 5, 2
+#: Compared fingerprints of texts at a shingle similarity of 0.8 differ in a share of acos(8 / 9) / pi of
+#: their 256 bits: 38.8 on average, with a deviation of 5.7. Beyond FAR bits a pair is no candidate; up to
+#: NEAR its similarity is above 0.8 but for three in a thousand of those at 0.79; between, it is counted.
+NEAR, FAR = 24, 52
+SIMILARITY = 0.8
+#: All pairs of a key with so few members are compared.
+FEW = 8
+_SPREAD = np.array([int.from_bytes(bytes((b >> (7 - i)) & 1 for i in range(8)), "little") for b in range(256)], np.uint64)
+
+
+def shingle_hashes(h: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` words of texts (word hashes, bounds), and the bounds of each text's.
+
+    A text of fewer words, but not none, has one run of all its words.
+    """
+    sizes = np.diff(bounds)
+    many = np.where(sizes >= width, sizes - width + 1, np.minimum(sizes, 1))
+    cut = np.concatenate([[0], np.cumsum(many)])
+    first = np.repeat(bounds[:-1] - cut[:-1], many) + np.arange(cut[-1])
+    length = np.repeat(np.minimum(sizes, width), many)
+    out = np.zeros(cut[-1], np.uint64)
+    for j in range(width):
+        own = length > j
+        out[own] = mix(out[own] * np.uint64(SEEDS[0]) ^ h[first[own] + j])
+    return out, cut
+
+
+def majority_bits(shingles: np.ndarray, cut: np.ndarray, seed: int) -> np.ndarray:
+    """A word of 64 bits for each text: bits that are set in more than half of its shingles' hashes under a seed."""
+    sums, n = np.zeros((len(cut) - 1, 64), np.int64), np.diff(cut)
+    rows = np.arange(len(n))
+    for at in range(0, len(shingles), 1 << 18):  # bounds the memory
+        x = mix(shingles[at : at + (1 << 18)] ^ np.uint64(seed))
+        # Eight counters of a byte in each number, of 255 shingles at most, are added at once.
+        starts = np.unique(np.concatenate([np.arange(0, len(x), 255), cut[(cut > at) & (cut < at + len(x))] - at]))
+        lanes = np.add.reduceat(_SPREAD[x.view(np.uint8).reshape(-1, 8)], starts, axis=0)
+        owner = np.searchsorted(cut, starts + at, "right") - 1
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        sums[rows[owner[first]]] += np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > n[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
+
+
+def signature_column(texts: pa.Array) -> np.ndarray:
+    """Eight words of 64 bits for each whole text: four over runs of BLOCKED words, then four over runs of COMPARED words."""
+    out = np.zeros((len(texts), 8), np.uint64)
+
+    def put(rows: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> None:
+        for k, width in enumerate((BLOCKED, COMPARED)):
+            found, cut = shingle_hashes(h, bounds, width)
+            for i, seed in enumerate(SEEDS):
+                out[rows, 4 * k + i] = majority_bits(found, cut, seed)
+
+    parts: list[np.ndarray] = []
+    for p in pieces(texts, separators=WHITE):
+        data = LOWER[p.data]
+        starts, ends = words(data, p.bounds, WHITE)
+        h = word_hashes(data, starts, ends)
+        if not (p.goes_on or p.cut):
+            put(p.rows, h, np.searchsorted(starts, p.bounds))
+            continue
+        parts.append(h)  # of one long text
+        if not p.cut:
+            whole = np.concatenate(parts)
+            put(p.rows, whole, np.array([0, len(whole)]))
+            parts = []
+    return out.view(np.int64)
+
+
+_BLOCK_COLUMNS = [f"b{i}" for i in range(4)]
+_COMPARED_COLUMNS = [f"v{i}" for i in range(4)]
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``(id, b0..b3, v0..v3)`` for each row (id, text); a null text counts as empty, whose signature is zero."""
+    names = [*_BLOCK_COLUMNS, *_COMPARED_COLUMNS]
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = signature_column(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(8)]], names=["id", *names])
+
+    return docs.mapInArrow(run, schema)
+
+
+def group_links(ids: np.ndarray, bits: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (u, v, differing bits) that join the groups that rows within ``far`` bits of each other form.
+
+    Of few rows all close pairs are given. Of more each row is linked to the closest of those that
+    the search reached just before it, so links are as many as rows.
+    """
+    order = np.argsort(ids)
+    ids, bits = ids[order], bits[order]
+    apart = lambda x, y: np.bitwise_count(bits[x, None, :] ^ bits[None, y, :]).sum(2, dtype=np.int64)
+    if len(ids) <= FEW:
+        x, y = np.triu_indices(len(ids), 1)
+        h = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        return ids[x[h <= far]], ids[y[h <= far]], h[h <= far]
+    left, found = np.arange(len(ids)), [(np.zeros(0, np.int64),) * 3]
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            least, parent = np.full(len(left), far + 1), np.zeros(len(left), np.int64)
+            for at in range(0, len(front), 16):
+                some = front[at : at + 16]
+                h = apart(some, left)
+                closest = h.argmin(0)
+                h = h[closest, np.arange(len(left))]
+                better = h < least
+                least[better], parent[better] = h[better], some[closest[better]]
+            near = least <= far
+            found.append((parent[near], left[near], least[near]))
+            front, left = left[near], left[~near]
+    x, y, h = (np.concatenate([f[k] for f in found]) for k in range(3))
+    return ids[np.minimum(x, y)], ids[np.maximum(x, y)], h
+
+
+def _similar_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(0)
+        held = lists.values
+        ids = held.field(0).to_numpy(zero_copy_only=False)
+        bits = np.stack([held.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(1, 5)], axis=1)
+        edges = lists.offsets.to_numpy(zero_copy_only=False)
+        found = [group_links(ids[i:j], bits[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        none = np.zeros(0, np.int64)
+        u, v, h = (np.concatenate([none, *[f[k] for f in found]]) for k in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(h.astype(np.int32))], names=["u", "v", "bits"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, text) batches to (cid, the distinct hashes of its runs of COMPARED words)."""
+    for batch in batches:
+        sets: list[np.ndarray] = [np.zeros(0, np.int64)] * len(batch)
+        parts: list[np.ndarray] = []
+        for p in pieces(batch.column(1), separators=WHITE):
+            data = LOWER[p.data]
+            starts, ends = words(data, p.bounds, WHITE)
+            h, cut = word_hashes(data, starts, ends), np.searchsorted(starts, p.bounds)
+            for k, row in enumerate(p.rows):
+                parts.append(h[cut[k] : cut[k + 1]])
+                if p.cut and k == len(p.rows) - 1:
+                    continue
+                whole = np.concatenate(parts)
+                sets[row] = np.unique(shingle_hashes(whole, np.array([0, len(whole)]), COMPARED)[0]).view(np.int64)
+                parts = []
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "shingles"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (u, v) of a written table whose texts (cid, text) have a shingle similarity of ``least`` or more.
+
+    Pairs within ``NEAR`` bits pass; the others' shingles are counted. Only texts in such pairs are read on.
+    """
+    open_pairs = pairs.where(F.col("bits") > NEAR)
+    members = open_pairs.select(F.explode(F.array("u", "v")).alias("member")).distinct()
+    sets = texts.join(members, F.col("cid") == F.col("member"), "left_semi").mapInArrow(_shingle_sets, "cid long, shingles array<long>")
+    sets = materialize(sets, "simhash-shingles")
+    side = lambda c: sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = open_pairs.join(side("u"), "u").join(side("v"), "v")
+    shared = F.size(F.array_intersect("u_set", "v_set"))
+    alike = both.where(shared >= least * (F.size("u_set") + F.size("v_set") - shared))
+    return pairs.where(F.col("bits") <= NEAR).select("u", "v").unionByName(alike.select("u", "v"))
+
+
+def similar_links(classes: DataFrame, *, dense_limit: int = DENSE_LIMIT) -> DataFrame:
+    """Distinct pairs (u, v, bits) of the classes (cid, b0..b3, v0..v3) that share a key and are within ``FAR`` bits.
+
+    A key gives as many pairs as members, see ``group_links``. A key with more than ``dense_limit``
+    members is cut into chunks by a hash, and each two chunks are looked at together, so no task
+    holds more than twice the limit.
+    """
+    keys = [F.xxhash64(F.lit(20 * i + t), F.col(c).bitwiseAND(F.lit(_signed(m)))) for i, c in enumerate(_BLOCK_COLUMNS) for t, m in enumerate(MASKS)]
+    keyed = classes.select("cid", F.explode(F.array(*keys)).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    live = keyed.join(sizes, "key").select("cid", "key", F.ceil(F.col("n") / dense_limit).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("cid", "key"), F.col("chunks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))
+    two = lambda x: F.struct(F.least("own", x).alias("lo"), F.greatest("own", x).alias("hi"))
+    alone = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
+    dealt = live.withColumn("own", own).select("cid", "key", F.inline(F.when(F.col("chunks") == 1, alone).otherwise(F.transform(others, two))))
+    member = F.struct("cid", *_COMPARED_COLUMNS)
+    held = dealt.join(classes.select("cid", *_COMPARED_COLUMNS), "cid").groupBy("key", "lo", "hi").agg(F.collect_list(member).alias("members"))
+    return held.where(F.size("members") > 1).select("members").mapInArrow(_similar_links, "u long, v long, bits int").distinct()
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dense_limit: int = DENSE_LIMIT) -> DataFrame:
-    """The rows of ``docs``, with all columns, of which one for each group: that with the smallest id.
+    """The rows of ``docs``, with all columns, of which one for each group of near-duplicates: that with the smallest id.
+
+    Near-duplicates have a similarity (Jaccard) of five-word shingles of 0.8 or more. Pairs are
+    found by four fingerprints of word pairs, which fewer edits touch, each cut into six blocks of
+    which three have to agree: 80 tables. The 256 bits of their fingerprints of five-word shingles
+    are compared, and the shingles themselves where these do not tell. Groups are what links join.
 
     Rows are told apart by a number of their own, written with them, so repeated and null ids
-    are as good as others; of equal ids the first row stays, and null ids come last.
+    are as good as others; of equal ids the first row stays, and null ids come last. Texts without
+    a word, null ones included, are copies of each other. An empty table gives no rows.
     """
     row = F.col(PREFIX + "row")
     numbered = materialize(wrap(docs).select(row, F.monotonically_increasing_id().alias("rid")), "simhash-rows")
     rank: Column = F.struct(row[id_col].isNull().alias("unknown"), row[id_col].alias("doc"), F.col("rid"))
-    fps = materialize(fingerprints(numbered.select(rank.alias("id"), row[text_col].alias("text")), id_col="id"), "simhash-fingerprints")
-    chosen = near_groups(fps, dense_limit=dense_limit).where(F.col("id.rid") == F.col("component_id.rid")).select(F.col("id.rid").alias("kept"))
-    return numbered.join(chosen, F.col("rid") == F.col("kept"), "left_semi").select(*unwrap(docs.columns, []))
+    found = signatures(numbered.select(rank.alias("id"), row[text_col].alias("text")))
+    # Copies are one class from here on, however many.
+    names = [*_BLOCK_COLUMNS, *_COMPARED_COLUMNS]
+    classes = materialize(found.groupBy(*names).agg(F.min("id").alias("least")).select("least", F.col("least.rid").alias("cid"), *names), "simhash-classes")
+    pairs = materialize(similar_links(classes, dense_limit=dense_limit), "simhash-pairs")
+    roots = components(verified(pairs, numbered.select(F.col("rid").alias("cid"), row[text_col].alias("text"))))
+    of = classes.select("least", "cid").join(roots, F.col("cid") == F.col("node"), "left")
+    kept = of.groupBy(F.coalesce("root", "cid").alias("group")).agg(F.min("least")["rid"].alias("kept"))
+    return numbered.join(kept, F.col("rid") == F.col("kept"), "left_semi").select(*unwrap(docs.columns, []))

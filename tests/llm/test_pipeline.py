@@ -1,14 +1,15 @@
 """The pipeline and the registered queries over a small directory of tables."""
 
+import random
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from gatewright.llm import queries, quality
+from gatewright.llm import mixing, quality, queries
 
 from . import test_decontam, test_quality, test_simhash
-from .helpers import collected, frame
+from .helpers import collected, frame, odd_rows, sentence
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,7 +43,7 @@ def test_stages_against_brute_force(spark, directory):
         assert kept == sorted((tuple(r) for r in passing), key=repr)
 
     one = stages["dedup"](spark, docs, d)
-    groups = test_simhash.brute_groups([r[0] for r in rows], [test_simhash.brute_fp(r[1]) for r in rows])
+    groups = test_simhash.similar_groups(rows)
     assert one.columns == COLUMNS and collected(one.select("doc_id")) == sorted({(g,) for g in groups}, key=repr)
 
     clean = stages["decontamination"](spark, docs, d)
@@ -62,6 +63,67 @@ def test_stages_against_brute_force(spark, directory):
     assert collected(dealt.select(COLUMNS)) == sorted((tuple(r) for r in rows), key=repr)
 
 
+@pytest.fixture(scope="module")
+def odd_directory(spark, tmp_path_factory):
+    """Nulls, empty and repeated rows, null ids, a very long text, and columns named like the operators' own."""
+    d = tmp_path_factory.mktemp("odd")
+    rng = random.Random(23)
+    rows = [*odd_rows(), (11, sentence(rng, 150000, 90000), "en", "s", 1), *[(20 + k, sentence(rng, 60), "en", "s", 0) for k in range(30)]]
+    frame(spark, rows, extra=True).write.parquet(str(d / "documents.parquet"))
+    spark.createDataFrame([(20 + k, k % 3 and 1, 0) for k in range(20)] + [(None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    spark.createDataFrame([(None, "a"), (1, None), (2, "")], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+    return str(d), rows
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_empty_tables(spark, odd_directory, name):
+    d, rows = odd_directory
+    docs, stage = queries.table(spark, d, "documents"), dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, d)
+    whole = out.collect()
+    own = ["shard", "slot"] if name == "sharding" else []
+    assert sorted(out.columns) == sorted({*docs.columns, *own})
+    texts = [(r["doc_id"], r["text"]) for r in whole]
+    assert set(texts) <= {(r[0], r[1]) for r in rows}
+    if name == "sharding":
+        assert sorted(texts, key=repr) == sorted(((r[0], r[1]) for r in rows), key=repr)
+    if name != "mixing":
+        assert any(i == 11 for i, _ in texts)  # the long text is clean and has no copy
+    assert {r["label"] for r in whole} == {"g"}
+    assert stage(spark, docs.limit(0), d).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_license_scan", "op3_quality_rules", "op4_sharding"])
+def test_native_queries_take_odd_rows(spark, odd_directory, name):
+    d, rows = odd_directory
+    got = queries.queries()[name](spark, d).collect()
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted((r[0] for r in rows), key=repr)
+    long = next(r for r in got if r["doc_id"] == 11)
+    words = {"op1_mixing": "n_tokens", "op2_license_scan": "n_words", "op3_quality_rules": "n_words"}.get(name)
+    assert long[words] == 150000 if words else long["size"] == len(rows[11][1]) + 8
+
+
+def test_mixing_reaches_its_shares(spark, directory):
+    """Expected tokens by domain, of the documents as often as they come out, against what was aimed at."""
+    d, rows, _ = directory
+    docs, labels = queries.table(spark, d, "documents"), queries.table(spark, d, "labels")
+    domains = queries.label_domains(labels)
+    options = {"thin": ("junk", "toxic"), "keep_domain": "clean", "max_rate": 2.0}
+    fitted = mixing.fit_mixture(docs, domains, queries.MIX_TARGETS, **options)
+    by_id = {}
+    for r in mixing.document_rates(fitted).collect():
+        by_id.setdefault(r["doc_id"], r)
+    total = sum(r["n_tokens"] for r in mixing.document_rates(fitted).collect())
+    out = [by_id[r["doc_id"]] for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, d).collect()]
+    for name in queries.MIX_TARGETS:
+        assert fitted.reached[name] <= max(fitted.goal[name], fitted.before[name]) * 1.01 or name == "clean"
+        drawn = sum(r["n_tokens"] * r[f"p_{name}"] for r in out) / total
+        assert drawn == pytest.approx(fitted.reached[name], abs=0.02)
+    assert fitted.goal["junk"] <= 0.5 * fitted.before["junk"] + 1e-9
+    clean = [r for r in by_id.values() if r["p_clean"] >= 0.5]
+    assert {r["doc_id"] for r in clean} <= {r["doc_id"] for r in out}
+
+
 def test_run_applies_all_stages_in_order(spark, directory):
     d, rows, _ = directory
     out = corpus_pipeline.run(spark, d)
