@@ -52,6 +52,10 @@ def load_counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     raise ValueError(f"no library is known for {path}")
 
 
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def cut_long(text: str, limit: int) -> list[str]:
     """``text`` in parts of about ``limit`` characters, cut at safe places only."""
     parts, at = [], 0
@@ -66,7 +70,7 @@ def cut_long(text: str, limit: int) -> list[str]:
 
 
 def count_batches(texts: list[str | None], count: Callable[[list[str]], list[int]], can_cut: bool, batch_bytes: int) -> list[int]:
-    """Token counts of ``texts``, encoding at most about ``batch_bytes`` characters at a time."""
+    """Token counts of ``texts``, encoding at most about ``batch_bytes`` bytes at a time."""
     totals, waiting, owners, held = [0] * len(texts), [], [], 0
 
     def flush() -> None:
@@ -78,12 +82,16 @@ def count_batches(texts: list[str | None], count: Callable[[list[str]], list[int
         held = 0
 
     for i, text in enumerate(texts):
-        for part in cut_long(text or "", batch_bytes) if can_cut else [text or ""]:
-            if held and held + len(part) > batch_bytes:
+        text = text or ""
+        size = _bytes(text)
+        # A long text is cut by characters, as many as take the bytes on its average.
+        for part in cut_long(text, max(1, batch_bytes * len(text) // size)) if can_cut and size > batch_bytes else [text]:
+            n = _bytes(part)
+            if held and held + n > batch_bytes:
                 flush()
             waiting.append(part)
             owners.append(i)
-            held += len(part)
+            held += n
     if waiting:
         flush()
     return totals
