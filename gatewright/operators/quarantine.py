@@ -49,38 +49,43 @@ def _lineage(anchor: str) -> tuple[Column, Column]:
 def violations(tables: Tables, rules: Iterable[Rule], run_date: str, snapshots: bool = True, details: bool = True) -> DataFrame:
     """Every failing row of every rule: one scan and one explode for each anchor table.
 
-    Each predicate is evaluated once a row. The explode is an outer one, so that no filter on
-    what it explodes is put below it, where it would evaluate them all again; snapshots are made
-    of the rows that are left.
+    A row is exploded to the numbers of the rules, those that hold null, and what is null goes. So
+    each predicate is evaluated once a row, in generated code; no filter is put below the explode,
+    which is an outer one, to evaluate them again; and names, details and snapshots are made of the
+    rows that are left.
     """
     rules = list(rules)
     parts = []
     for anchor in dict.fromkeys(r.anchor for r in rules):
         own = [r for r in rules if r.anchor == anchor]
         df, fields = enriched(tables, anchor, own, run_date), Fields()
-        found = F.array(*[F.when(r.predicate(fields), _violation(r, fields, details)) for r in own])
-        each = F.explode_outer(F.filter(found, lambda x: x.isNotNull())).alias("_v")
-        hits = df.select("*", each).where(F.col("_v").isNotNull())
+        numbers = F.array(*[F.when(r.predicate(fields), F.lit(i)) for i, r in enumerate(own)])
+        hits = df.select("*", F.explode_outer(numbers).alias("_v")).where(F.col("_v").isNotNull())
         source_file, source_row = _lineage(anchor)
         schema = F.col("schema") if "schema" in df.columns else F.lit(None).cast("string")
         kept = [source_file.alias("source_file"), source_row.alias("source_row"), schema.alias("schema")]
         if snapshots:
             kept.insert(2, snapshot_of(df).alias("snapshot"))
-        parts.append(hits.select(*kept, "_v.*"))
+        named = hits.select(*kept, _named(own).alias("_r"), _detail(own, fields, details).alias("detail"))
+        parts.append(named.select(*[c for c in named.columns if c not in ("_r", "detail")], "_r.*", "detail"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _violation(rule: Rule, fields: Fields, details: bool) -> Column:
-    return F.struct(
-        F.lit(rule.name).alias("rule_name"),
-        F.lit(rule.category).alias("rule_category"),
-        F.lit(rule.level).alias("level"),
-        F.lit(rule.column).cast("string").alias("column_name"),
-        (rule.detail(fields) if details else F.lit(None).cast("string")).alias("detail"),
-    )
+def _named(rules: list[Rule]) -> Column:
+    """Name, category, level and column of the rule with the number ``_v``."""
+    text = lambda value, name: F.lit(value).cast("string").alias(name)
+    each = [F.struct(text(r.name, "rule_name"), text(r.category, "rule_category"), text(r.level, "level"), text(r.column, "column_name")) for r in rules]
+    return F.get(F.array(*each), F.col("_v"))
+
+
+def _detail(rules: list[Rule], fields: Fields, wanted: bool) -> Column:
+    out = F.lit(None).cast("string")
+    for i, r in enumerate(rules if wanted else []):
+        out = F.when(F.col("_v") == i, r.detail(fields)).otherwise(out)
+    return out
 
 
 def quarantine(tables: Tables, rules: Iterable[Rule], run_id: str, run_date: str) -> DataFrame:

@@ -26,13 +26,13 @@ class LazyTables(dict):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
-        self._spark, self._dir = spark, sf_dir
+        self._spark, self._dir, self._base = spark, sf_dir, {}
 
     def __missing__(self, name: str) -> DataFrame:
         if name == "instrument_master":
             self[name] = self._spark.read.parquet(f"{self._dir}/customer.parquet").select(F.concat(F.lit("INST-"), "c_custkey").alias("instrument_id"))
         else:
-            self[name] = domain_table(self._spark, self._dir, name)
+            self[name] = domain_table(self._spark, self._dir, name, self._base)
         return self[name]
 
 

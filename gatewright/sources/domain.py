@@ -100,9 +100,18 @@ def spark_prefix(sf_dir: str, names: list[str] | None = None) -> str:
     return "WITH " + ",\n".join([*base, body.removeprefix("WITH ")])
 
 
-def domain_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One domain table over the star schema under ``sf_dir``."""
-    return spark.sql(f"{spark_prefix(sf_dir, [name])}\nSELECT * FROM {name}")
+def domain_table(spark: SparkSession, sf_dir: str, name: str, base: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One domain table over the star schema under ``sf_dir``.
+
+    ``base`` keeps the star-schema tables that were read, so that further calls do not look up their files again.
+    """
+    base, body = {} if base is None else base, cte_prefix([name]).removeprefix("WITH ")
+    used = [b for b in BASE_TABLES if f" {b}" in body.replace("\n", " ")]
+    for b in used:
+        if b not in base:
+            base[b] = spark.read.parquet(f"{sf_dir}/{b}.parquet")
+    named = [f"{b} AS (SELECT * FROM {{{b}}})" for b in used]
+    return spark.sql("WITH " + ",\n".join([*named, body]) + f"\nSELECT * FROM {name}", **{b: base[b] for b in used})
 
 
 def domain_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str, DataFrame]:

@@ -152,7 +152,7 @@ def test_predicates_are_evaluated_once(spark):
     rules = [r for r in GATE_RULES if r.name in ("negative_price", "zero_price")]
     tables, _ = corpus.gate_corpus(spark, days=2)
     plan = q.violations({"pricing": tables["pricing"]}, rules, RUN_DATE)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("THEN named_struct(rule_name, negative_price") <= 1 and "Generate explode(filter(" in plan
+    assert plan.count("THEN 0 END") == plan.count("THEN 1 END") == 1 and "Generate explode(array(CASE WHEN" in plan
 
 
 def test_band_breach_bridges_non_positive_prices(spark):
