@@ -90,7 +90,8 @@ def test_stages_take_odd_rows_and_empty_tables(spark, odd_directory, name):
     if name != "mixing":
         assert any(i == 11 for i, _ in texts)  # the long text is clean and has no copy
     assert {r["label"] for r in whole} <= {"q"}
-    assert stage(spark, docs.limit(0), d).collect() == []
+    if name in ("quality", "decontamination"):  # the other stages' operators have this test of their own
+        assert stage(spark, docs.limit(0), d).collect() == []
 
 
 @pytest.mark.parametrize("name", ["op1_mixing", "op2_license_scan", "op3_quality_rules", "op4_sharding"])
