@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import LOWER, PUNCT, PUNCT_RAW, Piece, mix, pieces, word_hashes, words
-from .scratch import materialize
+from .scratch import drawn, materialize
 
 #: Bytes that end a sentence.
 ENDS = np.zeros(256, bool)
@@ -172,15 +172,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     if train is not None:
         marked = marked.withColumnRenamed("id", id_col).where(train).withColumnRenamed(id_col, "id")
-    marked = marked.groupBy("id").agg(F.max("label").alias("label")).withColumn("draw", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1 << 20)))
+    marked = marked.groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     if len(counts) < 2:
         share = 1 - 1e-3 if counts.get(1) else 1e-3
         return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
     shares = {k: min(1.0, max_docs_per_class / n) for k, n in counts.items()}
-    drawn = marked.where(F.col("draw") < F.when(F.col("label") == 1, F.lit(int(shares[1] * (1 << 20)))).otherwise(F.lit(int(shares[0] * (1 << 20)))))
+    chosen = F.when(F.col("label") == 1, drawn(9, F.col("id"), shares[1])).otherwise(drawn(9, F.col("id"), shares[0]))
     # The drawn ids are bounded by the two class sizes, so they may be broadcast.
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(drawn.select("id", "label")), "id")
+    sample_ids = F.broadcast(marked.where(chosen).select("id", "label"))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(sample_ids, "id")
     # Written once: a bounded table that both passes over the sample read.
     sample = materialize(found.select(F.monotonically_increasing_id().alias("row"), "label", "text"), "toxicity-sample")
     n_docs, n_toxic = sample.agg(F.count("*"), F.sum("label")).first()
