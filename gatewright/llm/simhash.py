@@ -164,11 +164,20 @@ def links(classes: DataFrame, *, dense_limit: int = DENSE_LIMIT) -> DataFrame:
     return dense.unionByName(sparse).distinct()
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never sent whole to the driver and to every executor.
+
+    Tables that were written are planned by the size of their compressed files, which for ids and links
+    is a small part of what they take in memory; what grows with the input is dealt out by the join's key.
+    """
+    return df.hint("merge")
+
+
 def _smallest_neighbour(pairs: DataFrame) -> DataFrame:
     """(u, v) pairs with m, the smallest v or u of each u. A node with many pairs is salted."""
     least = pairs.groupBy("u").agg(F.min("v").alias("v_min")).select(F.col("u").alias("x"), F.least("u", "v_min").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("xs"))
     salted = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, (F.col("u") == F.col("x")) & (F.col("s") == F.col("xs"))).select("u", "v", "m")
+    return salted.join(_dealt(least), (F.col("u") == F.col("x")) & (F.col("s") == F.col("xs"))).select("u", "v", "m")
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -205,11 +214,11 @@ def near_groups(fps: DataFrame, *, dense_limit: int = DENSE_LIMIT) -> DataFrame:
     classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
     roots = components(links(classes, dense_limit=dense_limit))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    known = materialize(members.join(classes, F.col("node") == F.col("fp")).select("fp", "root", "least"), "simhash-members")
+    known = materialize(members.join(_dealt(classes), F.col("node") == F.col("fp")).select("fp", "root", "least"), "simhash-members")
     least = known.groupBy("root").agg(F.min("least").alias("group_least"))
-    grouped = known.join(least, "root").select(F.col("fp").alias("linked"), "group_least")
-    named = materialize(classes.join(grouped, F.col("fp") == F.col("linked"), "left").select(F.col("fp").alias("class"), F.coalesce("group_least", "least").alias("component_id")), "simhash-named")
-    return fps.join(named, F.col("fp") == F.col("class")).select("id", "fp", "component_id")
+    grouped = known.join(_dealt(least), "root").select(F.col("fp").alias("linked"), "group_least")
+    named = materialize(classes.join(_dealt(grouped), F.col("fp") == F.col("linked"), "left").select(F.col("fp").alias("class"), F.coalesce("group_least", "least").alias("component_id")), "simhash-named")
+    return fps.join(_dealt(named), F.col("fp") == F.col("class")).select("id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, dense_limit: int = DENSE_LIMIT) -> DataFrame:
@@ -383,10 +392,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     """
     open_pairs = pairs.where(F.col("bits") > NEAR)
     members = open_pairs.select(F.explode(F.array("u", "v")).alias("member")).distinct()
-    sets = texts.join(members, F.col("cid") == F.col("member"), "left_semi").mapInArrow(_shingle_sets, "cid long, shingles array<long>")
+    sets = texts.join(_dealt(members), F.col("cid") == F.col("member"), "left_semi").mapInArrow(_shingle_sets, "cid long, shingles array<long>")
     sets = materialize(sets, "simhash-shingles")
     side = lambda c: sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = open_pairs.join(side("u"), "u").join(side("v"), "v")
+    both = open_pairs.join(_dealt(side("u")), "u").join(_dealt(side("v")), "v")
     shared = F.size(F.array_intersect("u_set", "v_set"))
     alike = both.where(shared >= least * (F.size("u_set") + F.size("v_set") - shared))
     return pairs.where(F.col("bits") <= NEAR).select("u", "v").unionByName(alike.select("u", "v"))
@@ -402,14 +411,14 @@ def similar_links(classes: DataFrame, *, dense_limit: int = DENSE_LIMIT) -> Data
     keys = [F.xxhash64(F.lit(20 * i + t), F.col(c).bitwiseAND(F.lit(_signed(m)))) for i, c in enumerate(_BLOCK_COLUMNS) for t, m in enumerate(MASKS)]
     keyed = classes.select("cid", F.explode(F.array(*keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = keyed.join(sizes, "key").select("cid", "key", F.ceil(F.col("n") / dense_limit).cast("int").alias("chunks"))
+    live = keyed.join(_dealt(sizes), "key").select("cid", "key", F.ceil(F.col("n") / dense_limit).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("cid", "key"), F.col("chunks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))
     two = lambda x: F.struct(F.least("own", x).alias("lo"), F.greatest("own", x).alias("hi"))
     alone = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
     dealt = live.withColumn("own", own).select("cid", "key", F.inline(F.when(F.col("chunks") == 1, alone).otherwise(F.transform(others, two))))
     member = F.struct("cid", *_COMPARED_COLUMNS)
-    held = dealt.join(classes.select("cid", *_COMPARED_COLUMNS), "cid").groupBy("key", "lo", "hi").agg(F.collect_list(member).alias("members"))
+    held = dealt.join(_dealt(classes.select("cid", *_COMPARED_COLUMNS)), "cid").groupBy("key", "lo", "hi").agg(F.collect_list(member).alias("members"))
     return held.where(F.size("members") > 1).select("members").mapInArrow(_similar_links, "u long, v long, bits int").distinct()
 
 
@@ -434,6 +443,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     classes = materialize(found.groupBy(*names).agg(F.min("id").alias("least")).select("least", F.col("least.rid").alias("cid"), *names), "simhash-classes")
     pairs = materialize(similar_links(classes, dense_limit=dense_limit), "simhash-pairs")
     roots = components(verified(pairs, numbered.select(F.col("rid").alias("cid"), row[text_col].alias("text"))))
-    of = classes.select("least", "cid").join(roots, F.col("cid") == F.col("node"), "left")
+    of = classes.select("least", "cid").join(_dealt(roots), F.col("cid") == F.col("node"), "left")
     kept = of.groupBy(F.coalesce("root", "cid").alias("group")).agg(F.min("least")["rid"].alias("kept"))
-    return numbered.join(kept, F.col("rid") == F.col("kept"), "left_semi").select(*unwrap(docs.columns, []))
+    return numbered.join(_dealt(kept), F.col("rid") == F.col("kept"), "left_semi").select(*unwrap(docs.columns, []))

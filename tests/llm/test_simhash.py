@@ -191,3 +191,14 @@ def test_signatures_match_brute_force(monkeypatch):
 def test_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
     assert simhash.keep_one(frame(spark, [])).collect() == []
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """Small files are planned as broadcasts, however large they are in memory; here all are small."""
+    docs = frame(spark, near_rows())
+    for found in (simhash.keep_one(docs), simhash.near_duplicates(docs)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    classes = spark.range(64).selectExpr("id AS cid", *[f"0L AS {c}{i}" for c in "bv" for i in range(4)])
+    edges = spark.range(64).selectExpr("id AS u", "id + 1 AS v")
+    for found in (simhash.similar_links(classes), simhash._smallest_neighbour(edges)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
