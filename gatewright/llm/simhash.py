@@ -16,7 +16,7 @@
 
 Three bits of 64 join copies with a word or two changed. ``keep_one``, which a pipeline uses, takes
 near-duplicates at a similarity of 0.8 of five-word shingles, whose fingerprints differ in a seventh
-of their bits: by longer fingerprints, cut into blocks and joined in the same way.
+of their bits: by the shingles themselves, of which such texts share one of the first fifth.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import LOWER, WHITE, mix, pieces, word_hashes, words
-from .scratch import PREFIX, let, materialize, unwrap, wrap
+from .scratch import PREFIX, drawn, let, materialize, unwrap, wrap
 
 SEED = 42
 SHINGLE = 3
@@ -236,13 +236,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Words of the shingles that are compared, and of those whose fingerprints are cut into blocks.
 COMPARED, BLOCKED = 5, 2
-#: Compared fingerprints of texts at a shingle similarity of 0.8 differ in a share of acos(8 / 9) / pi of
-#: their 256 bits: 38.8 on average, with a deviation of 5.7. Beyond FAR bits a pair is no candidate; up to
-#: NEAR its similarity is above 0.8 but for three in a thousand of those at 0.79; between, it is counted.
-NEAR, FAR = 24, 52
-SIMILARITY = 0.8
-#: All pairs of a key with so few members are compared.
-FEW = 8
+#: Fingerprints of texts at a shingle similarity of 0.8 differ in a share of acos(8 / 9) / pi of their 256 bits,
+#: 38.8 on average with a deviation of 5.7 (48 and 6.2 where five shingles stand against four). FAR is more
+#: than five deviations beyond, and six below the 128 of texts that share nothing. Pairs within it are counted.
+FAR = 80
+#: Texts of which frequent shingles are learnt, and how many of these are told.
+SAMPLE, FREQUENT = 1 << 14, 1 << 15
+#: A group with more members, or with more shingles in all, is cut into chunks.
+GROUP_MEMBERS, GROUP_SHINGLES = 2048, 1 << 20
 _SPREAD = np.array([int.from_bytes(bytes((b >> (7 - i)) & 1 for i in range(8)), "little") for b in range(256)], np.uint64)
 
 
@@ -279,7 +280,9 @@ def majority_bits(shingles: np.ndarray, cut: np.ndarray, seed: int) -> np.ndarra
 
 
 def signature_column(texts: pa.Array) -> np.ndarray:
-    """Eight words of 64 bits for each whole text: four over runs of BLOCKED words, then four over runs of COMPARED words."""
+    """Fingerprints by all runs, repeated ones too; ``keep_one`` compares distinct ones (``signatures``).
+
+    Eight words of 64 bits for each whole text: four over runs of BLOCKED words, then four over runs of COMPARED words."""
     out = np.zeros((len(texts), 8), np.uint64)
 
     def put(rows: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> None:
@@ -304,53 +307,120 @@ def signature_column(texts: pa.Array) -> np.ndarray:
     return out.view(np.int64)
 
 
-_BLOCK_COLUMNS = [f"b{i}" for i in range(4)]
-_COMPARED_COLUMNS = [f"v{i}" for i in range(4)]
+_BITS = [f"v{i}" for i in range(4)]
+
 
+def _ranks(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """0 for a shingle that is not in ``frequent`` (rarest first), else its place there, from 1 on."""
+    if not len(frequent):
+        return np.zeros(len(shingles), np.int64)
+    order = np.argsort(frequent)
+    at = np.minimum(np.searchsorted(frequent, shingles, sorter=order), len(frequent) - 1)
+    return np.where(frequent[order[at]] == shingles, order[at] + 1, 0)
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """``(id, b0..b3, v0..v3)`` for each row (id, text); a null text counts as empty, whose signature is zero."""
-    names = [*_BLOCK_COLUMNS, *_COMPARED_COLUMNS]
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in names]])
+
+def distinct_shingles(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's runs of ``COMPARED`` words, frequent ones last, and the bounds of each text's.
+
+    The order is the same in all texts, so that two texts' first ones tell whether they can be similar.
+    """
+    found, cut = shingle_hashes(h, bounds, COMPARED)
+    owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    order = np.lexsort((found, _ranks(found, frequent), owner))
+    found, owner = found[order], owner[order]
+    first = np.ones(len(found), bool)
+    first[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    return found[first], np.searchsorted(owner[first], np.arange(len(cut)))
+
+
+def _text_sets(texts: pa.Array, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``distinct_shingles`` of all texts, in their order, some at a time."""
+    parts: list[np.ndarray] = []
+    for p in pieces(texts, separators=WHITE):
+        data = LOWER[p.data]
+        starts, ends = words(data, p.bounds, WHITE)
+        h = word_hashes(data, starts, ends)
+        if not (p.goes_on or p.cut):
+            yield distinct_shingles(h, np.searchsorted(starts, p.bounds), frequent)
+            continue
+        parts.append(h)  # of one long text
+        if not p.cut:
+            whole = np.concatenate(parts)
+            yield distinct_shingles(whole, np.array([0, len(whole)]), frequent)
+            parts = []
+
+
+def prefixes(sizes: np.ndarray) -> np.ndarray:
+    """Of sets of ``sizes`` elements so many first ones that two at a similarity of 4 / 5 have one of them in common.
+
+    They share 4 / 5 of either at least, so the rest after that many cannot be all that they share.
+    """
+    return np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0)
+
+
+def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``(id, e0, e1, v0..v3, keys)`` for each row (id, text); a null text counts as empty, which has no keys.
+
+    Texts with equal e0 and e1 have the same shingles; v0 to v3 are 256 bits of which similar texts share most;
+    keys are a text's first shingles.
+    """
+    longs = ["e0", "e1", *_BITS]
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in longs], T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = signature_column(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(8)]], names=["id", *names])
+            columns, keys, many = [np.zeros((0, 6), np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+            for found, cut in _text_sets(batch.column(1), frequent):
+                own = np.zeros((len(cut) - 1, 6), np.uint64)
+                for k, seed in enumerate(SEEDS[:2]):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found ^ np.uint64(seed)), dtype=np.uint64)])
+                    own[:, k] = sums[cut[1:]] - sums[cut[:-1]]
+                for k, seed in enumerate(SEEDS):
+                    own[:, 2 + k] = majority_bits(found, cut, seed)
+                n = prefixes(np.diff(cut))
+                at = np.cumsum(n) - n
+                columns.append(own)
+                keys.append(found[np.repeat(cut[:-1] - at, n) + np.arange(n.sum())])
+                many.append(n)
+            whole = np.concatenate(columns).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(many)), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(whole[:, i])) for i in range(6)], lists], names=["id", *longs, "keys"])
 
     return docs.mapInArrow(run, schema)
 
 
-def group_links(ids: np.ndarray, bits: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (u, v, differing bits) that join the groups that rows within ``far`` bits of each other form.
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles that several of about ``SAMPLE`` texts (cid, text) have, rarest first.
 
-    Of few rows all close pairs are given. Of more each row is linked to the closest of those that
-    the search reached just before it, so links are as many as rows.
+    They go last in the order of shingles, which keeps them from being keys. Any order gives the same pairs.
+    """
+    share = SAMPLE / max(1, texts.count())
+    some = texts.where(drawn(SEED, F.col("cid"), share)) if share < 1 else texts
+    each = some.select(F.lit(0).cast("long").alias("root"), "cid", "text").mapInArrow(_shingle_sets, _SETS)
+    most = each.select(F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 8").orderBy(F.desc("n"), "x").limit(FREQUENT)
+    return np.array([r["x"] for r in most.collect()][::-1], np.int64).view(np.uint64)
+
+
+def group_links(ids: np.ndarray, bits: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the groups that rows within ``far`` bits of each other form, each to the first of its group.
+
+    They say which rows are to be compared, not which are similar: ``exact_groups`` finds that out for all
+    pairs of a group, so links as many as rows lose none.
     """
     order = np.argsort(ids)
     ids, bits = ids[order], bits[order]
-    apart = lambda x, y: np.bitwise_count(bits[x, None, :] ^ bits[None, y, :]).sum(2, dtype=np.int64)
-    if len(ids) <= FEW:
-        x, y = np.triu_indices(len(ids), 1)
-        h = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-        return ids[x[h <= far]], ids[y[h <= far]], h[h <= far]
-    left, found = np.arange(len(ids)), [(np.zeros(0, np.int64),) * 3]
+    left, found = np.arange(len(ids)), [(np.zeros(0, np.int64),) * 2]
     while len(left):
-        front, left = left[:1], left[1:]
+        root, front, left = left[0], left[:1], left[1:]
         while len(front) and len(left):
-            least, parent = np.full(len(left), far + 1), np.zeros(len(left), np.int64)
+            near = np.zeros(len(left), bool)
             for at in range(0, len(front), 16):
-                some = front[at : at + 16]
-                h = apart(some, left)
-                closest = h.argmin(0)
-                h = h[closest, np.arange(len(left))]
-                better = h < least
-                least[better], parent[better] = h[better], some[closest[better]]
-            near = least <= far
-            found.append((parent[near], left[near], least[near]))
+                h = np.bitwise_count(bits[front[at : at + 16], None, :] ^ bits[None, left, :]).sum(2, dtype=np.int64)
+                near |= (h <= far).any(0)
             front, left = left[near], left[~near]
-    x, y, h = (np.concatenate([f[k] for f in found]) for k in range(3))
-    return ids[np.minimum(x, y)], ids[np.maximum(x, y)], h
+            found.append((np.full(len(front), root), front))
+    u, v = (np.concatenate([f[k] for f in found]) for k in range(2))
+    return ids[u], ids[v]
 
 
 def _similar_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,74 +431,109 @@ def _similar_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         bits = np.stack([held.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(1, 5)], axis=1)
         edges = lists.offsets.to_numpy(zero_copy_only=False)
         found = [group_links(ids[i:j], bits[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-        none = np.zeros(0, np.int64)
-        u, v, h = (np.concatenate([none, *[f[k] for f in found]]) for k in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(h.astype(np.int32))], names=["u", "v", "bits"])
+        u, v = (np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+_SETS = "root long, cid long, shingles array<long>"
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, text) batches to (cid, the distinct hashes of its runs of COMPARED words)."""
+    """(root, cid, text) batches to (root, cid, the distinct hashes of the text's runs of COMPARED words)."""
+    for batch in batches:
+        values, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for found, cut in _text_sets(batch.column(2), np.zeros(0, np.uint64)):
+            values.append(found)
+            sizes.append(np.diff(cut))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["root", "cid", "shingles"])
+
+
+def set_links(ids: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the groups that sets at a similarity of 4 / 5 or more form, each to the first of its group."""
+    names, tokens = np.unique(values, return_inverse=True)
+    sizes, mark = np.diff(bounds), np.zeros(len(names), bool)
+    left, found = np.argsort(ids), [(np.zeros(0, np.int64),) * 2]
+    while len(left):
+        root, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            near, n = np.zeros(len(left), bool), sizes[left]
+            at = np.cumsum(n) - n
+            flat = tokens[np.repeat(bounds[left] - at, n) + np.arange(n.sum())]
+            for x in front:
+                own = tokens[bounds[x] : bounds[x + 1]]
+                mark[own] = True
+                shared = np.add.reduceat(mark[flat], at, dtype=np.int64)
+                mark[own] = False
+                near |= 5 * shared >= 4 * (sizes[x] + n - shared)
+                if near.all():
+                    break
+            front, left = left[near], left[~near]
+            found.append((np.full(len(front), root), front))
+    u, v = (np.concatenate([f[k] for f in found]) for k in range(2))
+    return ids[u], ids[v]
+
+
+def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets: list[np.ndarray] = [np.zeros(0, np.int64)] * len(batch)
-        parts: list[np.ndarray] = []
-        for p in pieces(batch.column(1), separators=WHITE):
-            data = LOWER[p.data]
-            starts, ends = words(data, p.bounds, WHITE)
-            h, cut = word_hashes(data, starts, ends), np.searchsorted(starts, p.bounds)
-            for k, row in enumerate(p.rows):
-                parts.append(h[cut[k] : cut[k + 1]])
-                if p.cut and k == len(p.rows) - 1:
-                    continue
-                whole = np.concatenate(parts)
-                sets[row] = np.unique(shingle_hashes(whole, np.array([0, len(whole)]), COMPARED)[0]).view(np.int64)
-                parts = []
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "shingles"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (u, v) of a written table whose texts (cid, text) have a shingle similarity of ``least`` or more.
-
-    Pairs within ``NEAR`` bits pass; the others' shingles are counted. Only texts in such pairs are read on.
+        lists = batch.column(0)
+        held, edges = lists.values, lists.offsets.to_numpy(zero_copy_only=False)
+        ids, sets = held.field(0).to_numpy(zero_copy_only=False), held.field(1)
+        values, bounds = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        found = [set_links(ids[i:j], values[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        u, v = (np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def _in_chunks(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (by, cid, chunks) once for each two chunks (lo, hi) that theirs is one of; of a single chunk, once."""
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))
+    two = lambda x: F.struct(F.least("own", x).alias("lo"), F.greatest("own", x).alias("hi"))
+    alone = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
+    dealt = F.inline(F.when(F.col("chunks") == 1, alone).otherwise(F.transform(others, two)))
+    rest = [c for c in rows.columns if c != "chunks"]
+    return rows.withColumn("own", F.pmod(F.xxhash64("cid", by), F.col("chunks")).cast("int")).select(*rest, dealt)
+
+
+def exact_groups(groups: DataFrame, texts: DataFrame, *, dense_limit: int = DENSE_LIMIT) -> DataFrame:
+    """(node, root) of what is similar within each of ``groups`` (node, root), by the shingles of texts (cid, text).
+
+    All pairs of a group are looked at but for those that links join already. A group with more than
+    ``GROUP_MEMBERS`` members, or more than ``GROUP_SHINGLES`` shingles, is cut into chunks as keys are.
     """
-    open_pairs = pairs.where(F.col("bits") > NEAR)
-    members = open_pairs.select(F.explode(F.array("u", "v")).alias("member")).distinct()
-    sets = texts.join(_dealt(members), F.col("cid") == F.col("member"), "left_semi").mapInArrow(_shingle_sets, "cid long, shingles array<long>")
-    sets = materialize(sets, "simhash-shingles")
-    side = lambda c: sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = open_pairs.join(_dealt(side("u")), "u").join(_dealt(side("v")), "v")
-    shared = F.size(F.array_intersect("u_set", "v_set"))
-    alike = both.where(shared >= least * (F.size("u_set") + F.size("v_set") - shared))
-    return pairs.where(F.col("bits") <= NEAR).select("u", "v").unionByName(alike.select("u", "v"))
+    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    mine = texts.join(_dealt(members), F.col("cid") == F.col("node")).select("root", "cid", "text")
+    sets = materialize(mine.mapInArrow(_shingle_sets, _SETS), "simhash-shingles")
+    many = F.greatest(F.count("*") / min(dense_limit, GROUP_MEMBERS), F.sum(F.size("shingles")) / GROUP_SHINGLES)
+    chunks = materialize(sets.groupBy("root").agg(F.ceil(many).cast("int").alias("chunks")), "simhash-chunks")
+    held = _in_chunks(sets.join(_dealt(chunks), "root"), "root").groupBy("root", "lo", "hi").agg(F.collect_list(F.struct("cid", "shingles")).alias("members"))
+    found = held.where(F.size("members") > 1).select("members").mapInArrow(_set_links, "u long, v long")
+    if chunks.where("chunks > 1").isEmpty():  # each group was seen whole, so its links are from each to the first
+        return found.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    return components(found)
 
 
 def similar_links(classes: DataFrame, *, dense_limit: int = DENSE_LIMIT) -> DataFrame:
-    """Distinct pairs (u, v, bits) of the classes (cid, b0..b3, v0..v3) that share a key and are within ``FAR`` bits.
+    """Distinct links (u, v) that join the classes (cid, v0..v3, keys) that share a key and are within ``FAR`` bits.
 
-    A key gives as many pairs as members, see ``group_links``. A key with more than ``dense_limit``
+    A key gives as many links as members, see ``group_links``. A key with more than ``dense_limit``
     members is cut into chunks by a hash, and each two chunks are looked at together, so no task
     holds more than twice the limit.
     """
-    keys = [F.xxhash64(F.lit(20 * i + t), F.col(c).bitwiseAND(F.lit(_signed(m)))) for i, c in enumerate(_BLOCK_COLUMNS) for t, m in enumerate(MASKS)]
-    keyed = classes.select("cid", F.explode(F.array(*keys)).alias("key"))
+    keyed = classes.select("cid", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = keyed.join(_dealt(sizes), "key").select("cid", "key", F.ceil(F.col("n") / dense_limit).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("cid", "key"), F.col("chunks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))
-    two = lambda x: F.struct(F.least("own", x).alias("lo"), F.greatest("own", x).alias("hi"))
-    alone = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
-    dealt = live.withColumn("own", own).select("cid", "key", F.inline(F.when(F.col("chunks") == 1, alone).otherwise(F.transform(others, two))))
-    member = F.struct("cid", *_COMPARED_COLUMNS)
-    held = dealt.join(_dealt(classes.select("cid", *_COMPARED_COLUMNS)), "cid").groupBy("key", "lo", "hi").agg(F.collect_list(member).alias("members"))
-    return held.where(F.size("members") > 1).select("members").mapInArrow(_similar_links, "u long, v long, bits int").distinct()
+    held = _in_chunks(live, "key").join(_dealt(classes.select("cid", *_BITS)), "cid").groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("cid", *_BITS)).alias("members"))
+    return held.where(F.size("members") > 1).select("members").mapInArrow(_similar_links, "u long, v long").distinct()
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dense_limit: int = DENSE_LIMIT) -> DataFrame:
     """The rows of ``docs``, with all columns, of which one for each group of near-duplicates: that with the smallest id.
 
-    Near-duplicates have a similarity (Jaccard) of five-word shingles of 0.8 or more. Pairs are
-    found by four fingerprints of word pairs, which fewer edits touch, each cut into six blocks of
-    which three have to agree: 80 tables. The 256 bits of their fingerprints of five-word shingles
-    are compared, and the shingles themselves where these do not tell. Groups are what links join.
+    Near-duplicates have a similarity (Jaccard) of distinct five-word shingles of 0.8 or more. Two such
+    texts have one of their first fifths of shingles in common, in an order of all shingles that has
+    frequent ones last. Those that share such a key and differ in no more than ``FAR`` of 256 bits are
+    joined to groups to be compared, and within a group the shingles of all pairs decide.
 
     Rows are told apart by a number of their own, written with them, so repeated and null ids
     are as good as others; of equal ids the first row stays, and null ids come last. Texts without
@@ -437,12 +542,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     row = F.col(PREFIX + "row")
     numbered = materialize(wrap(docs).select(row, F.monotonically_increasing_id().alias("rid")), "simhash-rows")
     rank: Column = F.struct(row[id_col].isNull().alias("unknown"), row[id_col].alias("doc"), F.col("rid"))
-    found = signatures(numbered.select(rank.alias("id"), row[text_col].alias("text")))
-    # Copies are one class from here on, however many.
-    names = [*_BLOCK_COLUMNS, *_COMPARED_COLUMNS]
-    classes = materialize(found.groupBy(*names).agg(F.min("id").alias("least")).select("least", F.col("least.rid").alias("cid"), *names), "simhash-classes")
-    pairs = materialize(similar_links(classes, dense_limit=dense_limit), "simhash-pairs")
-    roots = components(verified(pairs, numbered.select(F.col("rid").alias("cid"), row[text_col].alias("text"))))
+    texts = numbered.select(F.col("rid").alias("cid"), row[text_col].alias("text"))
+    found = signatures(numbered.select(rank.alias("id"), row[text_col].alias("text")), frequent_shingles(texts))
+    # Texts of the same shingles are one class from here on, however many.
+    first = F.min(F.struct("id", *_BITS, "keys")).alias("first")
+    classes = materialize(found.groupBy("e0", "e1").agg(first).select(F.col("first.id").alias("least"), F.col("first.id.rid").alias("cid"), *[f"first.{c}" for c in (*_BITS, "keys")]), "simhash-classes")
+    near = components(similar_links(classes, dense_limit=dense_limit))
+    roots = materialize(exact_groups(near, texts, dense_limit=dense_limit), "simhash-roots")
     of = classes.select("least", "cid").join(_dealt(roots), F.col("cid") == F.col("node"), "left")
     kept = of.groupBy(F.coalesce("root", "cid").alias("group")).agg(F.min("least")["rid"].alias("kept"))
     return numbered.join(_dealt(kept), F.col("rid") == F.col("kept"), "left_semi").select(*unwrap(docs.columns, []))

@@ -198,7 +198,53 @@ def test_no_table_that_grows_is_broadcast(spark):
     docs = frame(spark, near_rows())
     for found in (simhash.keep_one(docs), simhash.near_duplicates(docs)):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
-    classes = spark.range(64).selectExpr("id AS cid", *[f"0L AS {c}{i}" for c in "bv" for i in range(4)])
+    classes = spark.range(64).selectExpr("id AS cid", *[f"0L AS v{i}" for i in range(4)], "array(id) AS keys")
     edges = spark.range(64).selectExpr("id AS u", "id + 1 AS v")
     for found in (simhash.similar_links(classes), simhash._smallest_neighbour(edges)):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def links_of(ids, sets):
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    return simhash.set_links(np.array(ids), np.concatenate([sorted(x) for x in sets]), bounds)
+
+
+def test_set_links_match_brute_force():
+    rng = random.Random(4)
+    for n in (2, 9, 60):
+        base = [rng.getrandbits(40) for _ in range(30)]
+        sets = [{x if rng.random() > 0.12 else rng.getrandbits(40) for x in rng.choice((base, base[:5]))} for _ in range(n)]
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i in range(n):
+            for j in range(i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    parent[max(find(i), find(j))] = min(find(i), find(j))
+        u, v = links_of(range(n), sets)
+        assert sorted(zip(v.tolist(), u.tolist())) == [(i, find(i)) for i in range(n) if find(i) != i]
+
+
+@pytest.mark.parametrize("dense_limit", [5, 8192])
+def test_no_pair_at_four_fifths_is_left_out(spark, dense_limit):
+    """Large groups at 0.75 to 0.85 and pairs within them, repeated lines, and short texts: groups are those of all pairs."""
+    rng, rows = random.Random(8), odd_rows()
+    for k in range(6):
+        base = sentence(rng, 200, 5000).split()
+        for j in range(40):  # two such differ from each other in twice as many places as from the base
+            words = list(base)
+            for i in rng.sample(range(2, 198, 5), rng.randrange(1, 6)):
+                words[i] = f"k{k}j{j}i{i}"
+            rows.append((1000 * (k + 1) + j, " ".join(words), "en", "s", 0))
+    for k in range(60):  # the similarity is that of distinct shingles, however often these occur
+        line, words = sentence(rng, 12, 5000), sentence(rng, 120, 5000)
+        rows += [(20000 + 2 * k, words + " " + line, "en", "s", 0), (20001 + 2 * k, words + (" " + line) * rng.randrange(5, 40), "en", "s", 0)]
+    for k in range(30):
+        words = sentence(rng, rng.randrange(5, 16), 5000)
+        rows += [(30000 + 2 * k, words, "en", "s", 0), (30001 + 2 * k, words + " more", "en", "s", 0)]
+    kept = simhash.keep_one(frame(spark, rows), dense_limit=dense_limit)
+    assert collected(kept.select("doc_id")) == sorted({(g,) for g in similar_groups(rows)}, key=repr)
