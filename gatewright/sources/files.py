@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import DAILY_COLUMNS, DAILY_RECORD, FEED_COLUMNS, FEED_REQUIRED, GATE_TABLES, VENDOR_RECORD
+from .staging import stage
 
 
 def read_gate_table(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -55,6 +56,21 @@ def read_whole_files(spark: SparkSession, path: str, glob: str = "*.csv") -> Dat
     return raw.select(F.col("_metadata.file_name").alias("source_file"), kept.alias("lines"))
 
 
+def read_numbered_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """(path, source_file, at, line) of the files directly under a directory, one row for each line; at is 0 for a file's first.
+
+    A file is read block by block and never held whole. Blocks depend on the cores at hand, so the lines
+    are written once to the shared folder before they are counted.
+    """
+    raw = spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    block = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = stage(raw.select(*block, F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r"\r\z", "").alias("line")), "lines")
+    blocks = lines.groupBy("path", "start").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = blocks.select("path", "start", (before - F.col("first")).alias("shift"))
+    return lines.join(shifts, ["path", "start"]).select("path", "source_file", (F.col("seq") + F.col("shift")).alias("at"), "line")
+
+
 def _field(header: Column, cells: Column, name: str) -> Column:
     """The cell under a header name, '' if the column or the cell is absent; the last of equal names."""
     back = F.array_position(F.reverse(header), name)
@@ -69,17 +85,20 @@ def read_vendor_feeds(spark: SparkSession, path: str, schemas: DataFrame | None
     row. If that cannot be found, or ``schemas`` does not know it, ``strict`` fails the read and
     otherwise the file has no records (``rejected_feeds`` lists it).
     """
-    files = _resolved(read_whole_files(spark, path))
+    lines = read_numbered_lines(spark, path)
+    files = _resolved(lines)
     if schemas is not None:
         known = schemas.select(F.col("schema_name").alias("_known")).distinct()
         files = files.join(known, F.col("file_schema") == F.col("_known"), "left").withColumn("file_schema", F.when(F.col("_known").isNotNull(), F.col("file_schema"))).drop("_known")
-    if strict:
-        files = files.withColumn("file_schema", F.coalesce("file_schema", F.raise_error(F.concat(F.lit("no known schema_name in the first row of "), F.col("source_file")))))
-    rows = files.where(F.col("file_schema").isNotNull()).select("source_file", "header", F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("at", "line"))
+    known_schema = F.col("file_schema").isNotNull()
+    if strict:  # asked of every line, the header too
+        known_schema = known_schema | F.raise_error(F.concat(F.lit("no known schema_name in the first row of "), F.col("source_file"))).cast("boolean")
+    read = lines.join(files.drop("source_file"), "path").where(F.when(known_schema, F.col("at") > 0).otherwise(False))
+    rows = read.select("source_file", "header", "at", "line")
     cells = rows.withColumn("cells", F.split("line", ",", -1))
     missing = F.size(F.array_except(F.array(*map(F.lit, FEED_REQUIRED)), F.col("header"))) > 0
     own = {
-        "source_row": F.col("at") + 1,
+        "source_row": F.col("at"),
         "declared_column_count": F.lit(len(FEED_COLUMNS)),
         "actual_column_count": F.size("header"),
         "missing_required_column": missing,
@@ -88,16 +107,18 @@ def read_vendor_feeds(spark: SparkSession, path: str, schemas: DataFrame | None
     return cells.select(*[own.get(f.name, _field(F.col("header"), F.col("cells"), f.name)).cast(f.dataType).alias(f.name) for f in VENDOR_RECORD.fields])
 
 
-def _resolved(files: DataFrame) -> DataFrame:
-    header = F.split(F.element_at("lines", 1), ",", -1)
-    first = F.split(F.get("lines", F.lit(1)), ",", -1)
-    with_header = files.where(F.size("lines") > 0).select("source_file", "lines", header.alias("header"), first.alias("first"))
-    return with_header.withColumn("file_schema", F.when(F.col("first").isNotNull() & F.array_contains("header", "schema_name"), F.nullif(_field(F.col("header"), F.col("first"), "schema_name"), F.lit(""))))
+def _resolved(lines: DataFrame) -> DataFrame:
+    """(path, source_file, header, file_schema) of each file that has a line."""
+    line = lambda k: F.max(F.when(F.col("at") == k, F.col("line")))
+    heads = lines.where("at < 2").groupBy("path", "source_file").agg(line(0).alias("names"), line(1).alias("cells"))
+    with_header = heads.select("path", "source_file", F.split("names", ",", -1).alias("header"), F.split("cells", ",", -1).alias("first"))
+    own = F.when(F.col("first").isNotNull() & F.array_contains("header", "schema_name"), F.nullif(_field(F.col("header"), F.col("first"), "schema_name"), F.lit("")))
+    return with_header.select("path", "source_file", "header", own.alias("file_schema"))
 
 
 def rejected_feeds(spark: SparkSession, path: str, schemas: DataFrame | None = None) -> DataFrame:
     """Files whose schema cannot be resolved."""
-    files = _resolved(read_whole_files(spark, path))
+    files = _resolved(read_numbered_lines(spark, path)).select("source_file", "file_schema")
     lost = files.where(F.col("file_schema").isNull())
     if schemas is not None:
         lost = lost.unionByName(files.where(F.col("file_schema").isNotNull()).join(schemas.select(F.col("schema_name").alias("file_schema")), "file_schema", "left_anti").select(*lost.columns))

@@ -39,6 +39,42 @@ def test_files_without_a_schema(spark, tmp_path):
         files.read_vendor_feeds(spark, str(tmp_path), schemas).collect()
 
 
+def test_files_are_read_block_by_block(spark, tmp_path):
+    """No row holds a file, and rows of files of many blocks keep their numbers."""
+    for name, n in (("a.csv", 700), ("b.csv", 1), ("c.csv", 90)):
+        write(tmp_path, name, HEADER, *[f"{name}{i},2026-10-04,2026-10-05,USD,{i},2,ACTIVE,US,V,equity_vendor_feed_1" if i % 7 else "" for i in range(1, n + 1)])
+    conf = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "10"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        lines = files.read_numbered_lines(spark, str(tmp_path))
+        records = files.read_vendor_feeds(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert lines.agg(F.max(F.length("line"))).first()[0] < 100 and lines.count() == 794
+    assert sorted((r["source_file"], r["source_row"]) for r in records) == sorted((name, i) for name, n in (("a.csv", 700), ("b.csv", 1), ("c.csv", 90)) for i in range(1, n + 1))
+    assert all(r["value1"] == (str(r["source_row"]) if r["source_row"] % 7 else "") for r in records)
+
+
+def test_feeds_query_over_a_table_whose_first_split_has_no_rows(spark, tmp_path):
+    from gatewright.plans.io_queries import source_vendor_feeds
+
+    spark.range(1, 3001).selectExpr("id AS o_orderkey", "id % 50 AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # one group of rows, in the middle of the splits
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        got = source_vendor_feeds(spark, str(tmp_path))
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        assert got.count() == 3000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_vintages_are_immutable(spark, tmp_path):
     rows = corpus.feed_corpus(spark, files_per_schema=1, rows_per_file=2).where("schema_name = 'equity_vendor_feed_1'")
     sinks.write_named_csv(rows, str(tmp_path / "in"), list(FEED_COLUMNS), "at")
