@@ -129,5 +129,33 @@ def test_the_sql_finds_wrapped_notices_too(spark, tmp_path):
     assert sum(r[-1] > 0 for r in found) > 0.9 * len(found)
 
 
+def test_base_columns_are_those_of_the_contract(spark, tmp_path):
+    """The phrases are written out here: the operator's own are what is tested."""
+    from gatewright.llm import queries
+
+    phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    texts = [
+        "Released under the MIT License.",
+        "the MIT license; den mit license",  # one word of the phrase is missing
+        "under the\x00MIT\r\nLicense_UNDER-the[mit]license, CC by-nc",
+        "under the mit licenseé, éunder the mit license, under the mıt license",
+        "w " * 70000 + "Apache License, Version 2.0\n\n" + "w " * 70000 + "under the mit license",
+        "cc by nc " * 300,
+        ", ".join(["Under the MIT License", "cc by", "nc", "the mit license", "apache license version 2"]),
+        "under the mit",
+        None,
+    ]
+    frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, text in enumerate(texts):
+        w = PLAIN.findall(lower(text))
+        found = [(at, label) for label, p in phrases.items() for at in range(len(w)) if w[at : at + len(p.split())] == p.split()]
+        places = [at for at, _ in found]
+        want.append((i, len(w), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({label for _, label in found}))))
+    got = queries.op2_license_scan(spark, str(tmp_path)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got)) == want
+    assert [r[2] for r in want] == [1, 0, 3, 0, 2, 300, 3, 0, 0]
+
+
 def test_empty_table(spark):
     assert license_scan.scan_licenses(frame(spark, [])).collect() == []
